@@ -27,7 +27,7 @@ def text_histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
     return long_texts(df, by, columns).groupBy(*by, "column", "text").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def sorted_histogram(hist: DataFrame, by: Sequence[str]) -> DataFrame:
+def sorted_histogram(hist: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Add ``cum`` (count up to and with the value), ``prev`` (next smaller value) and the totals
     ``n``, ``lo``, ``hi`` of the column."""
     group = [*by, "column"]
@@ -60,6 +60,7 @@ def sorted_histogram(hist: DataFrame, by: Sequence[str]) -> DataFrame:
         "n",
         "lo",
         "hi",
+        *keep,
     )
 
 

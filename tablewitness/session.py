@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app: str = "tablewitness") -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
