@@ -43,7 +43,7 @@ def with_dataset(df: DataFrame, dataset_id: str | None) -> DataFrame:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN counts as missing everywhere; decimals become doubles."""
+    """NaN counts as missing everywhere; decimals become doubles; dots leave the column names."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
@@ -51,7 +51,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
             c = F.when(~F.isnan(c), c)
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
-        out.append(c.alias(f.name))
+        out.append(c.alias(f.name.replace(".", "_")))
     return df.select(*out)
 
 

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewitness.operators.columns import long_numbers
+from tablewitness.operators.columns import attach, long_numbers
 from tablewitness.session import stage
 
 BLOCK_ROWS = 65536
+SHARED_HALO = 24
 
 
 def range_sorted(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -70,11 +72,40 @@ def overlapping(df: DataFrame, halo: int | Column, block_rows: int = BLOCK_ROWS)
 def ahead(
     df: DataFrame, keys: Sequence[str], length: int, block_rows: int = BLOCK_ROWS, leads: Sequence[int] = ()
 ) -> DataFrame:
-    """Give each row its next values: ``lead_k`` for each of ``leads``, or all ``length`` of them as ``ahead``."""
-    blocks = overlapping(df, length, block_rows)
+    """Give each row its next values: ``lead_k`` for each of ``leads``, or all ``length`` of them as ``ahead``.
+
+    ``df`` is a series, or blocks from ``shared_blocks`` with an overlap of at least ``length``.
+    """
+    blocks = df if "_block" in df.columns else overlapping(df, length, block_rows)
     w = Window.partitionBy(*keys, "_block").orderBy("row_idx")
     if leads:
         cols = [F.lead("value", k).over(w).alias(f"lead_{k}") for k in leads]
     else:
         cols = [F.collect_list("value").over(w.rowsBetween(1, length)).alias("ahead")]
     return blocks.select("*", *cols).where("_own").drop("_block", "_own")
+
+
+def with_spread(s: DataFrame, keys: Sequence[str], single: bool) -> DataFrame:
+    """Next to each value the ``mean``, ``std`` and ``std_pop`` of its series."""
+    if "std_pop" in s.columns:
+        return s
+    stats = s.groupBy(*keys).agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.stddev_pop("value").alias("std_pop")
+    )
+    return attach(s, stats, keys, single)
+
+
+def shared_blocks(s: DataFrame, keys: Sequence[str], single: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks for all ordered measures: shuffled, sorted and kept once, read by each of them.
+
+    The cached rows keep their partitioning and order, so the measures need no shuffle of their
+    own. A lost part is rebuilt from the written series. The caller unpersists it.
+    """
+    blocks = overlapping(with_spread(s, keys, single), SHARED_HALO, max(block_rows, SHARED_HALO))
+    placed = blocks.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "row_idx")
+    return placed.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def own_rows(s: DataFrame) -> DataFrame:
+    """The rows of a series without the repeated ones."""
+    return s.where("_own").drop("_block", "_own") if "_block" in s.columns else s

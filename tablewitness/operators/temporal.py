@@ -10,23 +10,16 @@ from pyspark.sql import functions as F
 
 from tablewitness.functions.scalars import EPS, clip, entropy_term, finite_or, not_nan, total
 from tablewitness.operators.columns import attach, column_position, nan_to_null, numeric_columns, with_dataset
-from tablewitness.operators.histogram import exact_quantiles, sorted_histogram
-from tablewitness.operators.ordering import BLOCK_ROWS, ahead, series
+from tablewitness.operators.histogram import exact_quantiles, sorted_histogram, value_histogram
+from tablewitness.operators.ordering import (
+    BLOCK_ROWS, ahead, own_rows, series, shared_blocks, with_spread,
+)
+from tablewitness.session import stage, together
 
 HIGUCHI_STEPS = 10
 SPIKE_LIMIT = 3.0 * 1.4826
 
 
-def series_stats(s: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Count and spread of each series."""
-    return s.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std_pop"),
-        F.stddev_samp("value").alias("std"),
-    )
-
-
 def autocorrelation(s: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Lag-1 autocorrelation ``r`` and the length ``n`` of each series."""
     near = ahead(s, keys, 1, block_rows, leads=[1])
@@ -74,11 +67,10 @@ def _pattern_entropy(name: str) -> Column:
 def sequence_steps(s: DataFrame, keys: Sequence[str], single: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Everything that looks at most five rows ahead, in one pass over the blocks.
 
-    Gives ``autocorr_lag1``, ``autocorr_lag5``, ``smoothness``, ``jump_freq`` and
-    ``permutation_entropy`` per series.
+    Gives ``autocorr_lag1``, ``autocorr_lag5``, ``smoothness``, ``jump_freq``, ``falls`` (steps
+    down) and ``permutation_entropy`` per series.
     """
-    stats = series_stats(s, keys).drop("n")
-    near = attach(ahead(s, keys, 5, block_rows, leads=[1, 2, 3, 4, 5]), stats, keys, single)
+    near = ahead(with_spread(s, keys, single), keys, 5, block_rows, leads=[1, 2, 3, 4, 5])
     far = F.coalesce(
         *[F.when(F.least(F.lit(5), F.floor(F.col("n") / 3)) == k, F.col(f"lead_{k}")) for k in range(1, 6)]
     )
@@ -95,11 +87,12 @@ def sequence_steps(s: DataFrame, keys: Sequence[str], single: bool, block_rows:
             F.avg(step).alias("_step"),
             F.max("std_pop").alias("_sd"),
             F.avg(F.when(jump, 1.0).otherwise(0.0)).alias("jump_freq"),
+            F.sum(F.when(F.col("lead_1") < F.col("value"), 1).otherwise(0)).alias("falls"),
         )
     )
     smooth = F.when(F.col("n") < 3, F.lit(0.5)).otherwise(F.col("_step") / (F.col("_sd") + F.lit(EPS)))
     return agg.select(
-        *keys, "n", "autocorr_lag1", "autocorr_lag5", smooth.alias("smoothness"), "jump_freq",
+        *keys, "n", "autocorr_lag1", "autocorr_lag5", smooth.alias("smoothness"), "jump_freq", "falls",
         _pattern_entropy("permutation_entropy"),
     )
 
@@ -225,7 +218,7 @@ def decomposition(s: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROW
     # Residuals are detrended values minus the phase mean (the centre shifts them all alike).
     residual_var = F.col("_within") / m
     slope = (F.col("_sut") - F.col("_su") * F.col("_st") / m) / (F.col("_suu") - F.col("_su") * F.col("_su") / m)
-    total_var = series_stats(s, keys).select(*keys, (F.col("std_pop") * F.col("std_pop")).alias("_var"))
+    total_var = own_rows(s).groupBy(*keys).agg(F.var_pop("value").alias("_var"))
     return sums.join(total_var, list(keys)).select(
         *keys,
         clip(seasonal_var / (F.col("_var") + F.lit(EPS)), 0.0, 1.0).alias("seasonality_strength"),
@@ -235,22 +228,32 @@ def decomposition(s: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROW
 
 
 def temporal_columns(
-    s: DataFrame, by: Sequence[str], single: bool, sorted_hist: DataFrame, block_rows: int = BLOCK_ROWS
+    blocks: DataFrame, steps: DataFrame, by: Sequence[str], single: bool, sorted_hist: DataFrame,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """One row per series of eight values or more, with every ordered measure."""
+    """One row per series of eight values or more, with every ordered measure.
+
+    ``steps`` is the outcome of ``sequence_steps``. The other measures run side by side over the
+    shared blocks; each ends in one row per series.
+    """
     from tablewitness.operators.stationarity import adf_test, kpss_test
 
     keys = [*by, "column"]
-    s = s.where(F.col("n") >= 8)
-    return (
-        sequence_steps(s, keys, single, block_rows)
-        .join(spike_fraction(s, keys, single, block_rows), keys, "left")
-        .join(noise_level(sorted_hist, by, single), keys, "left")
-        .join(higuchi(s, keys, block_rows), keys, "left")
-        .join(adf_test(s, keys, single, block_rows).select(*keys, "adf_p"), keys, "left")
-        .join(kpss_test(s, keys, single, block_rows).select(*keys, "kpss_p"), keys, "left")
-        .join(decomposition(s, keys, block_rows), keys, "left")
+    s = blocks.where(F.col("n") >= 8)
+    parts = together(
+        [
+            lambda: stage(spike_fraction(s, keys, single, block_rows), "spikes"),
+            lambda: stage(noise_level(sorted_hist, by, single), "noise"),
+            lambda: stage(higuchi(s, keys, block_rows), "higuchi"),
+            lambda: stage(adf_test(s, keys, single, block_rows).select(*keys, "adf_p"), "adf"),
+            lambda: stage(kpss_test(s, keys, single, block_rows).select(*keys, "kpss_p"), "kpss"),
+            lambda: stage(decomposition(s, keys, block_rows), "season"),
+        ]
     )
+    out = steps.where(F.col("n") >= 8)
+    for part in parts:
+        out = out.join(part, keys, "left")
+    return out
 
 
 # Feature name -> (column measure, value without a usable column).
@@ -333,17 +336,33 @@ def temporal_features(
     ``order_cols`` must order the rows of a dataset totally. ``max_columns=8`` looks at the first
     eight numeric columns only.
     """
-    from tablewitness.operators.domain import detect_domain
-    from tablewitness.operators.histogram import value_histogram
+    from tablewitness.operators.domain import domain_of_series, series_with_time
 
     df = nan_to_null(with_dataset(df, dataset_id))
     by, single = ["dataset_id"], dataset_id is None
-    columns = numeric_columns(df, by)[:max_columns]
-    flags = detect_domain(df, order_cols, "dataset_id")
-    if not columns:
-        means = flags.select(*by).where(F.lit(False))
-        return temporal_row(flags.join(means, by, "left").select(*by), flags, by, False)
-    s = series(df, columns, order_cols, by)
-    hist = sorted_histogram(value_histogram(df, columns, by), by)
-    measures = temporal_columns(s, by, single, hist, block_rows)
-    return temporal_row(temporal_means(measures, by, columns, max_columns), flags, by, True)
+    columns = numeric_columns(df, by)
+    blocks = shared_blocks(series_with_time(df, columns, order_cols, by), [*by, "column"], single, block_rows)
+    steps = stage(sequence_steps(blocks, [*by, "column"], single, block_rows), "steps")
+    flags = stage(domain_of_series(df, columns, steps, by), "domain")
+    out = temporal_block(df, columns, blocks, steps, flags, by, single, max_columns, block_rows)
+    blocks.unpersist()
+    return out
+
+
+def temporal_block(
+    df: DataFrame, columns: Sequence[str], blocks: DataFrame, steps: DataFrame, flags: DataFrame, by: Sequence[str],
+    single: bool, max_columns: int | None = None, block_rows: int = BLOCK_ROWS, hist: DataFrame | None = None,
+) -> DataFrame:
+    """Ordered features per dataset; measures only datasets that ``flags`` calls time series."""
+    timed = flags.where("is_timeseries").select(*by)
+    used = list(columns)[:max_columns]
+    if not columns or not timed.limit(1).count():
+        empty = timed.where(F.lit(False)).select(
+            *by, *[F.lit(None).cast("double").alias(n) for n in NEUTRAL if not n.startswith("is_")]
+        )
+        return temporal_row(empty, flags, by, bool(columns))
+    if hist is None:
+        hist = sorted_histogram(value_histogram(df, used, by), by)
+    mine = lambda x: x.where(F.col("column").isin(used)).join(timed, list(by), "left_semi")
+    measured = temporal_columns(mine(blocks), mine(steps), by, single, mine(hist), block_rows)
+    return stage(temporal_row(temporal_means(measured, by, used, None), flags, by, True), "temporal")

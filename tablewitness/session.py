@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+R = TypeVar("R")
 
 
 def local_session(cores: str = "8", app: str = "tablewitness") -> SparkSession:
@@ -55,3 +59,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(tasks: Sequence[Callable[[], R]], jobs: int = 8) -> list[R]:
+    """Run independent Spark jobs at the same time and return their results in order.
+
+    Small jobs fill the gaps of large ones, and each keeps a plan of its own instead of being one
+    branch of a huge plan that is re-optimised whenever any stage ends.
+    """
+    with ThreadPoolExecutor(jobs) as pool:
+        return list(pool.map(lambda task: task(), tasks))
