@@ -193,11 +193,6 @@ def agg12(spark, folder):
     return rounded(out, ["mean_abs_correlation"])
 
 
-_MIXED = ", ".join(
-    f"(SELECT v{i} FROM p{i} WHERE p{i}.d = a.d AND p{i}.r = a.r) AS v{i}" for i in range(3)
-)
-
-
 @query(
     "agg13_correlation_consistency",
     f"""WITH {", ".join(f"p{i} AS (SELECT o_orderstatus AS d, {c}::DOUBLE AS v{i}, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(concat_ws('|', '42', '_v{i}', o_orderkey))) AS r FROM orders)" for i, c in enumerate(ORDERS))},
@@ -391,7 +386,26 @@ def mul2_by(spark, folder):
     " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(corr({a}, {b}), 0), 6) AS r FROM lineitem" for a, b in _PAIRS),
 )
 def mul3(spark, folder):
-    return rounded(correlations(dataset(spark, folder, "lineitem"), LINEITEM, BY).select("a", "b", "r"), ["r"])
+    return rounded(correlations(dataset(spark, folder, "lineitem"), LINEITEM, BY, True).select("a", "b", "r"), ["r"])
+
+
+@query("mul3_reconstruction_error_table")
+def mul3_table(spark, folder):
+    return reconstruction_error(dataset(spark, folder, "lineitem"), LINEITEM, BY, True)
+
+
+@query(
+    "agg13_table_consistency",
+    f"""WITH {", ".join(f"p{i} AS (SELECT {c}::DOUBLE AS v{i}, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '_v{i}', o_orderkey))) AS r FROM orders)" for i, c in enumerate(ORDERS))},
+        after AS (SELECT corr(v0, v1) AS c01, corr(v0, v2) AS c02, corr(v1, v2) AS c12 FROM p0 JOIN p1 USING (r) JOIN p2 USING (r)),
+        before AS (SELECT corr(o_orderkey, o_custkey) AS b01, corr(o_orderkey, o_totalprice) AS b02, corr(o_custkey, o_totalprice) AS b12 FROM orders)
+        SELECT 'table' AS dataset_id, round((abs(b01) + abs(b02) + abs(b12)) / 3, 6) AS mean_abs_correlation,
+          round((abs(abs(b01) - abs(c01)) + abs(abs(b02) - abs(c02)) + abs(abs(b12) - abs(c12))) / 3, 6) AS joint_correlation_consistency
+        FROM before, after""",
+)
+def agg13_table(spark, folder):
+    out = correlation_consistency(dataset(spark, folder, "orders"), ORDERS, ["o_orderkey"], BY, 42, True)
+    return rounded(out, ["mean_abs_correlation", "joint_correlation_consistency"])
 
 
 @query("mul3_reconstruction_error")

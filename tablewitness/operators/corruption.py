@@ -21,7 +21,7 @@ from tablewitness.operators.columns import (
     numeric_columns,
     with_dataset,
 )
-from tablewitness.operators.ordering import ordered_index
+from tablewitness.operators.ordering import hash_rank, ordered_index
 from tablewitness.operators.permutation import permuted_columns
 
 BY = ["dataset_id"]
@@ -94,7 +94,7 @@ def draw_cells(t: DataFrame, seed: int, columns: Sequence[str], distinct: Sequen
     flat = F.col("column").isin(list(distinct)) if distinct else F.lit(False)
     once = long.where(flat).select(*BY, "column", "cell", F.lit(0).cast("long").alias("_tie")).distinct()
     pool = long.where(~flat).select(*BY, "column", "cell", F.col("row_idx").alias("_tie")).unionByName(once)
-    pool = ordered_index(pool, ["cell", "_tie"], [*BY, "column"], "pos", extra=("n",)).drop("_tie")
+    pool = ordered_index(pool, ["cell", "_tie"], [*BY, "column"], "pos", extra=("n",), drop=("_tie",))
     rows = t.groupBy(*BY).agg(F.count(F.lit(1)).alias("_rows"))
     sizes = pool.groupBy(*BY, "column").agg(F.max("n").alias("_m")).join(rows, BY)
     sizes = sizes.withColumn("_salts", F.ceil(F.col("_rows") / F.col("_m") / F.lit(float(DRAWS_PER_KEY))))
@@ -332,7 +332,7 @@ def blank_column(t: DataFrame, level: float, seed: int) -> DataFrame:
 def back_to_size(t: DataFrame, sizes: DataFrame, seed: int, always: bool = False) -> DataFrame:
     """By a coin, a grown dataset is sampled back to ``sizes`` (``dataset_id, _target``) rows exactly."""
     hashed = t.withColumn("_h", shuffle_key(seed, "shrink", ROW))
-    ranked = ordered_index(hashed, ["_h"], BY, "_pos").join(sizes, BY)
+    ranked = hash_rank(hashed, BY, "_h", ["row_idx"], "_pos").join(sizes, BY)
     coin = F.lit(True) if always else _coin(seed, "shrink") < 0.5
     return ranked.where(~coin | (F.col("_pos") < F.col("_target"))).select(*t.columns)
 

@@ -7,17 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewitness.functions.scalars import corrected_kurtosis, corrected_skewness, finite_or, not_nan, total
-from tablewitness.operators.columns import attach
-
-# Above this many columns the pairs are exploded to rows: one aggregate per pair would make the
-# generated code too large to compile.
-MAX_WIDE_PAIRS = 200
-
+from tablewitness.operators.columns import attach, long_numbers
 
 def missing_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Mean missing rate over columns, and the sample variance of the missing share per row."""
@@ -30,66 +25,104 @@ def missing_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
     )
 
 
-def _per_column(name: str) -> Column:
-    x = F.col(f"`{name}`").cast("double")
-    return F.struct(
-        F.lit(name).alias("column"),
-        F.count(x).alias("n"),
-        F.min(x).alias("lo"),
-        F.max(x).alias("hi"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.stddev_pop(x).alias("std_pop"),
-        F.var_samp(x).alias("variance"),
-        F.skewness(x).alias("g1"),
-        F.kurtosis(x).alias("g2"),
-    )
-
-
 def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """``(by, column, n, lo, hi, mean, std, std_pop, variance, skewness, kurtosis)`` in one scan.
 
-    Skewness and kurtosis carry the small-sample correction and need more than three values.
+    Skewness and kurtosis carry the small-sample correction and need more than three values. A
+    column without any value has no row. The long form keeps the aggregate small enough to
+    compile well, however many columns there are.
     """
-    wide = df.groupBy(*by).agg(F.array(*[_per_column(c) for c in columns]).alias("_s"))
-    flat = wide.select(*by, F.explode("_s").alias("_s")).select(*by, "_s.*")
-    enough = F.col("n") > 3
-    flat = flat.withColumn("skewness", F.when(enough, not_nan(corrected_skewness(F.col("g1"), F.col("n")))))
-    flat = flat.withColumn("kurtosis", F.when(enough, not_nan(corrected_kurtosis(F.col("g2"), F.col("n")))))
+    flat = long_numbers(df, by, columns).groupBy(*by, "column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.skewness("value").alias("g1"),
+        F.kurtosis("value").alias("g2"),
+    )
+    n, enough = F.col("n"), F.col("n") > 3
     # Like the data-frame statistics this mirrors, a constant column has zero skewness and kurtosis.
-    flat_line = enough & (F.col("std_pop") == 0)
+    shape = lambda value: F.when(enough & (F.col("lo") == F.col("hi")), F.lit(0.0)).when(enough, not_nan(value))
     return flat.select(
-        *by, "column", "n", "lo", "hi", "mean", "std", "std_pop", "variance",
-        F.when(flat_line, F.lit(0.0)).otherwise(F.col("skewness")).alias("skewness"),
-        F.when(flat_line, F.lit(0.0)).otherwise(F.col("kurtosis")).alias("kurtosis"),
+        *by, "column", "n", "lo", "hi", "mean", "std",
+        F.when(n > 1, F.col("std") * F.sqrt((n - 1) / n)).otherwise(F.lit(0.0)).alias("std_pop"),
+        (F.col("std") * F.col("std")).alias("variance"),
+        shape(corrected_skewness(F.col("g1"), n)).alias("skewness"),
+        shape(corrected_kurtosis(F.col("g2"), n)).alias("kurtosis"),
+    )
+
+
+def _batch_products(columns: Sequence[str]):
+    """Per Arrow batch, sums of the shifted values and of all their products over present cells."""
+    names = [f"_x{i}" for i in range(len(columns))]
+
+    def run(batches):
+        for pdf in batches:
+            x = pdf[names].to_numpy(dtype=float)
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            m = there.astype(float)
+            blocks = (m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)
+            yield pd.DataFrame({"sums": [np.concatenate([b.ravel() for b in blocks]).tolist()]})
+
+    return run
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _correlation_cells(sums: pd.Series, width: pd.Series) -> pd.Series:
+    """Upper triangle of the correlation matrix from the sums of ``_batch_products``."""
+    out = []
+    for s, d in zip(sums, width):
+        n, sx, sxx, sxy = np.asarray(s).reshape(4, int(d), int(d))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = sxy - sx * sx.T / n
+            spread = np.maximum(sxx - sx * sx / n, 0.0)
+            r = cov / np.sqrt(spread * spread.T)
+        out.append(r[np.triu_indices(int(d), 1)].tolist())
+    return pd.Series(out)
+
+
+def table_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(a, b, r)`` for one table: matrix products per batch, small sums added up by Spark.
+
+    Values are shifted by the column means first, so the sums do not cancel.
+    """
+    d = len(columns)
+    means = df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()
+    shifted = df.select(
+        *[(F.col(c).cast("double") - F.lit(float(mu or 0.0))).alias(f"_x{i}") for i, (c, mu) in enumerate(zip(columns, means))]
     )
+    parts = shifted.mapInPandas(_batch_products(columns), "sums array<double>")
+    added = parts.select(F.posexplode("sums").alias("_i", "_s")).groupBy("_i").agg(F.sum("_s").alias("_s"))
+    packed = added.agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_c"))
+    cells = packed.select(F.transform("_c", lambda c: c["_s"]).alias("_s"), F.lit(d).alias("_d")).where(F.size("_s") > 0)
+    cells = cells.select(F.posexplode(_correlation_cells("_s", "_d")).alias("_k", "r"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations(columns, 2)])
+    return cells.select(pairs[F.col("_k")].alias("_p"), "r").select("_p.a", "_p.b", finite_or(F.col("r"), 0.0).alias("r"))
+
 
+def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str], single: bool = False) -> DataFrame:
+    """``(by, a, b, r)`` for each pair of columns, over the rows where both are present.
 
-def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """``(by, a, b, r)`` for each pair of columns, over the rows where both are present."""
-    pairs = list(combinations(columns, 2))
-    if len(pairs) <= MAX_WIDE_PAIRS:
-        cells = [
-            F.struct(
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
-                F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias("r"),
-            )
-            for a, b in pairs
-        ]
-        wide = df.groupBy(*by).agg(F.array(*cells).alias("_p"))
-        out = wide.select(*by, F.explode("_p").alias("_p")).select(*by, "_p.*")
-    else:
-        values = df.select(*by, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("_v"))
-        left = values.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
-        both = left.select(*by, "_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_i < _j")
-        names = F.array(*[F.lit(c) for c in columns])
-        out = (
-            both.groupBy(*by, "_i", "_j")
-            .agg(F.corr("_x", "_y").alias("r"))
-            .select(*by, names[F.col("_i")].alias("a"), names[F.col("_j")].alias("b"), "r")
+    Many datasets take one row per pair through a single small aggregate, combined map-side; an
+    aggregate per pair would be too large to compile well.
+    """
+    if single:
+        return table_correlations(df, columns).withColumns({k: F.lit("table") for k in by}).select(*by, "a", "b", "r")
+    values = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    left = values.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
+    rest = F.slice("_v", F.col("_i") + 2, F.lit(len(columns)))
+    both = left.select(*by, "_i", "_x", F.posexplode(rest).alias("_j", "_y"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return (
+        both.groupBy(*by, "_i", "_j")
+        .agg(F.corr("_x", "_y").alias("r"))
+        .select(
+            *by, names[F.col("_i")].alias("a"), names[F.col("_i") + F.col("_j") + 1].alias("b"),
+            finite_or(F.col("r"), 0.0).alias("r"),
         )
-    return out.withColumn("r", finite_or(F.col("r"), 0.0))
+    )
 
 
 def fill_means(df: DataFrame, columns: Sequence[str], by: Sequence[str], single: bool) -> DataFrame:
@@ -132,7 +165,7 @@ def reconstruction_error(df: DataFrame, columns: Sequence[str], by: Sequence[str
     if len(columns) == 1:
         return live.select(*by, F.lit(0.0).alias("reconstruction_error"))
     cells = (
-        correlations(filled, columns, by)
+        correlations(filled, columns, by, single)
         .groupBy(*by)
         .agg(F.collect_list(F.struct("a", "b", "r")).alias("_cells"))
     )

@@ -8,6 +8,7 @@ blocks of the index that also hold the first rows of the following block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -21,21 +22,25 @@ BLOCK_ROWS = 65536
 SHARED_HALO = 24
 
 
-def range_sorted(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """``df`` written in global order of ``keys``, with its partition ``_pid`` and place ``_lid``."""
+def range_sorted(df: DataFrame, keys: Sequence[str], label: str, drop: Sequence[str] = ()) -> DataFrame:
+    """``df`` written in global order of ``keys``, with its partition ``_pid`` and place ``_lid``.
+
+    Columns in ``drop`` only give the order and are not written.
+    """
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return stage(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_lid", place), label)
+    return stage(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_lid", place).drop(*drop), label)
 
 
 def ordered_index(
-    df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (), name: str = "row_idx", extra: Sequence[str] = ()
+    df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (), name: str = "row_idx", extra: Sequence[str] = (),
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """Add the 0-based position of each row within its group, in ``order_cols`` order."""
     if not by:
         df = df.withColumn("_all", F.lit(0))
-        return ordered_index(df, order_cols, ["_all"], name, extra).drop("_all")
-    placed = range_sorted(df, [*by, *order_cols], "index")
+        return ordered_index(df, order_cols, ["_all"], name, extra, drop).drop("_all")
+    placed = range_sorted(df, [*by, *order_cols], "index", drop)
     # One row per group and partition it touches: a group of any size adds at most one row per partition.
     spans = placed.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_lid").alias("_first"))
     w = Window.partitionBy(*by).orderBy("_pid")
@@ -46,6 +51,23 @@ def ordered_index(
     return out.drop("_pid", "_lid", "_shift", *([] if "n" in extra else ["n"]))
 
 
+def hash_rank(df: DataFrame, by: Sequence[str], hashed: str, ties: Sequence[str], name: str = "row_idx") -> DataFrame:
+    """Add the 0-based position within ``by`` in the order of ``hashed``, a hexadecimal hash.
+
+    A hash spreads evenly, so its leading bits cut every group into known, equal buckets: rows are
+    numbered per bucket and shifted by the counts of the buckets before, without a range sort.
+    """
+    bits = min(24, max(0, math.ceil(math.log2(max(df.count(), 1) / BLOCK_ROWS))))
+    lead = F.conv(F.substring(hashed, 1, 6), 16, 10).cast("long")
+    cut = df.withColumn("_b", F.shiftright(lead, 24 - bits))
+    counts = cut.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(hashed, *ties))
+    numbered = cut.withColumn("_r", place).drop(hashed)
+    return numbered.join(counts, [*by, "_b"]).withColumn(name, F.col("_r") - 1 + F.col("_before")).drop("_b", "_r", "_before")
+
+
 def series(df: DataFrame, columns: Sequence[str], order_cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Every numeric column as a compact ordered series ``(by, column, row_idx, n, value)``.
 
@@ -53,7 +75,7 @@ def series(df: DataFrame, columns: Sequence[str], order_cols: Sequence[str], by:
     """
     keys = [f"_k{i}" for i in range(len(order_cols))]
     long = long_numbers(df, by, columns, keep=order_cols)
-    return ordered_index(long, keys, [*by, "column"], extra=("n",)).drop(*keys)
+    return ordered_index(long, keys, [*by, "column"], extra=("n",), drop=keys)
 
 
 def overlapping(df: DataFrame, halo: int | Column, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tablewitness.functions.scalars import clip, finite_or, total
 from tablewitness.operators.isolation import grow_forest, score_one
 from tablewitness.operators.metrics import class_weights, classification_report, roc_auc
-from tablewitness.operators.ordering import ordered_index
+from tablewitness.operators.ordering import hash_rank
 from tablewitness.session import stage
 
 FOLDS = 5
@@ -65,8 +65,8 @@ def assign_folds(df: DataFrame, label: str, key_cols: Sequence[str], folds: int
     from tablewitness.functions.scalars import shuffle_key
 
     hashed = df.withColumn("_h", shuffle_key(seed, "fold", key_cols))
-    placed = ordered_index(hashed, ["_h", *key_cols], [label], "_place")
-    return placed.withColumn("fold", (F.col("_place") % folds).cast("int")).drop("_h", "_place")
+    placed = hash_rank(hashed, [label], "_h", key_cols, "_place")
+    return placed.withColumn("fold", (F.col("_place") % folds).cast("int")).drop("_place")
 
 
 def probability_of(model, df: DataFrame, name: str) -> DataFrame:
