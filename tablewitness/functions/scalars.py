@@ -54,6 +54,21 @@ def corrected_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation aggregate over the rows where both are present; null when one side is constant.
+
+    The built-in one fails on constant columns in ANSI mode.
+    """
+    sxx, syy = F.regr_sxx(y, x), F.regr_syy(y, x)
+    return F.when((sxx > 0) & (syy > 0), F.regr_sxy(y, x) / (F.sqrt(sxx) * F.sqrt(syy)))
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Least-squares slope aggregate; null when ``x`` does not vary."""
+    sxx = F.regr_sxx(y, x)
+    return F.when(sxx > 0, F.regr_sxy(y, x) / sxx)
+
+
 def suspicious_name(name: Column) -> Column:
     return F.lower(name).rlike(SUSPICIOUS_NAME)
 

@@ -63,7 +63,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     )
     pos, neg = F.col("_pos"), F.col("_all") - F.col("_pos")
     row = lambda k, n, boosting: F.struct(
-        F.lit(k).alias("label"), n.alias("n"), (F.col("_all") / (2.0 * n)).alias("balanced"), boosting.alias("boosting")
+        F.lit(k).alias("label"), n.alias("n"), (F.col("_all") / F.nullif(2.0 * n, F.lit(0.0))).alias("balanced"), boosting.alias("boosting")
     )
-    rows = F.array(row(0, neg, F.lit(1.0)), row(1, pos, neg / pos + F.lit(1e-5)))
+    rows = F.array(row(0, neg, F.lit(1.0)), row(1, pos, neg / F.nullif(pos, F.lit(0)) + F.lit(1e-5)))
     return both.select(F.explode(rows).alias("_r")).select("_r.*")

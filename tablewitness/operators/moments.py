@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewitness.functions.scalars import corrected_kurtosis, corrected_skewness, finite_or, not_nan, total
+from tablewitness.functions.scalars import corrected_kurtosis, corrected_skewness, finite_or, not_nan, pearson, total
 from tablewitness.operators.columns import attach, long_numbers
 
 def missing_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -83,13 +83,14 @@ def _correlation_cells(sums: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def table_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def table_correlations(df: DataFrame, columns: Sequence[str], means: Sequence[float] | None = None) -> DataFrame:
     """``(a, b, r)`` for one table: matrix products per batch, small sums added up by Spark.
 
     Values are shifted by the column means first, so the sums do not cancel.
     """
     d = len(columns)
-    means = df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()
+    if means is None:
+        means = df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()
     shifted = df.select(
         *[(F.col(c).cast("double") - F.lit(float(mu or 0.0))).alias(f"_x{i}") for i, (c, mu) in enumerate(zip(columns, means))]
     )
@@ -102,14 +103,16 @@ def table_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.select(pairs[F.col("_k")].alias("_p"), "r").select("_p.a", "_p.b", finite_or(F.col("r"), 0.0).alias("r"))
 
 
-def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str], single: bool = False) -> DataFrame:
+def correlations(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], single: bool = False, means: Sequence[float] | None = None
+) -> DataFrame:
     """``(by, a, b, r)`` for each pair of columns, over the rows where both are present.
 
     Many datasets take one row per pair through a single small aggregate, combined map-side; an
     aggregate per pair would be too large to compile well.
     """
     if single:
-        return table_correlations(df, columns).withColumns({k: F.lit("table") for k in by}).select(*by, "a", "b", "r")
+        return table_correlations(df, columns, means).withColumns({k: F.lit("table") for k in by}).select(*by, "a", "b", "r")
     values = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
     left = values.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
     rest = F.slice("_v", F.col("_i") + 2, F.lit(len(columns)))
@@ -117,7 +120,7 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str], singl
     names = F.array(*[F.lit(c) for c in columns])
     return (
         both.groupBy(*by, "_i", "_j")
-        .agg(F.corr("_x", "_y").alias("r"))
+        .agg(pearson(F.col("_x"), F.col("_y")).alias("r"))
         .select(
             *by, names[F.col("_i")].alias("a"), names[F.col("_i") + F.col("_j") + 1].alias("b"),
             finite_or(F.col("r"), 0.0).alias("r"),

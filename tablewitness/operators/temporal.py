@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewitness.functions.scalars import EPS, clip, entropy_term, finite_or, not_nan, total
+from tablewitness.functions.scalars import EPS, clip, entropy_term, finite_or, not_nan, pearson, slope, total
 from tablewitness.operators.columns import attach, column_position, nan_to_null, numeric_columns, with_dataset
 from tablewitness.operators.histogram import exact_quantiles, sorted_histogram, value_histogram
 from tablewitness.operators.ordering import (
@@ -23,7 +23,7 @@ SPIKE_LIMIT = 3.0 * 1.4826
 def autocorrelation(s: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Lag-1 autocorrelation ``r`` and the length ``n`` of each series."""
     near = ahead(s, keys, 1, block_rows, leads=[1])
-    return near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), not_nan(F.corr("value", "lead_1")).alias("r"))
+    return near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), not_nan(pearson(F.col("value"), F.col("lead_1"))).alias("r"))
 
 
 def autocorrelation_curve(
@@ -34,7 +34,7 @@ def autocorrelation_curve(
     pairs = pairs.where((F.col("n") >= 10) & (F.col("_k") + 1 < F.floor(F.col("n") / 2)))
     return (
         pairs.groupBy(*keys, (F.col("_k") + 1).alias("lag"))
-        .agg(F.corr("value", "_next").alias("acf"), F.max("n").alias("_n"))
+        .agg(pearson(F.col("value"), F.col("_next")).alias("acf"), F.max("n").alias("_n"))
         .select(*keys, "lag", "acf", (F.lit(1.96) / F.sqrt("_n")).alias("bound"))
     )
 
@@ -82,8 +82,8 @@ def sequence_steps(s: DataFrame, keys: Sequence[str], single: bool, block_rows:
         .groupBy(*keys)
         .agg(
             *_pattern_counts(),
-            not_nan(F.corr("value", "lead_1")).alias("autocorr_lag1"),
-            not_nan(F.corr("value", "_far")).alias("autocorr_lag5"),
+            not_nan(pearson(F.col("value"), F.col("lead_1"))).alias("autocorr_lag1"),
+            not_nan(pearson(F.col("value"), F.col("_far"))).alias("autocorr_lag5"),
             F.avg(step).alias("_step"),
             F.max("std_pop").alias("_sd"),
             F.avg(F.when(jump, 1.0).otherwise(0.0)).alias("jump_freq"),
@@ -154,7 +154,7 @@ def higuchi(s: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROWS) ->
     length = F.col("_d") * (F.col("n") - 1) / ((F.col("_pairs") + 1) * k)
     curve = walks.groupBy(*keys, "_k").agg(F.log(F.avg(length) + F.lit(1e-12)).alias("_y"), F.max("n").alias("n"))
     fit = curve.groupBy(*keys).agg(
-        F.abs(F.regr_slope(F.col("_y"), F.log(k.cast("double")))).alias("_slope"),
+        F.abs(slope(F.col("_y"), F.log(k.cast("double")))).alias("_slope"),
         F.count(F.lit(1)).alias("_points"),
         F.max("n").alias("n"),
     )
@@ -217,13 +217,13 @@ def decomposition(s: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROW
     seasonal_var = F.col("_ass") / F.col("_na") - F.pow(F.col("_as") / F.col("_na"), F.lit(2.0))
     # Residuals are detrended values minus the phase mean (the centre shifts them all alike).
     residual_var = F.col("_within") / m
-    slope = (F.col("_sut") - F.col("_su") * F.col("_st") / m) / (F.col("_suu") - F.col("_su") * F.col("_su") / m)
+    trend = (F.col("_sut") - F.col("_su") * F.col("_st") / m) / (F.col("_suu") - F.col("_su") * F.col("_su") / m)
     total_var = own_rows(s).groupBy(*keys).agg(F.var_pop("value").alias("_var"))
     return sums.join(total_var, list(keys)).select(
         *keys,
         clip(seasonal_var / (F.col("_var") + F.lit(EPS)), 0.0, 1.0).alias("seasonality_strength"),
         clip(residual_var, 0.0, 1e6).alias("residual_variance"),
-        clip(slope / F.col("n"), -1e6, 1e6).alias("trend_slope"),
+        clip(trend / F.col("n"), -1e6, 1e6).alias("trend_slope"),
     )
 
 
