@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewitness.llm import language, reputation, secrets
+from tablewitness.llm import language, packing, reputation, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,9 +88,9 @@ def _sql_spans() -> str:
         parts.append(f"""SELECT i, {n} AS kind, '{rule.name}' AS rule, e - m AS start, e AS "end" FROM (
  SELECT i, m, g, sum(m + b) OVER (PARTITION BY i ORDER BY k) AS e FROM (
   SELECT i, unnest(ms) AS m, unnest(gs) AS g, unnest(bs[:len(ms)]) AS b, unnest(range(len(ms))) AS k FROM (
-   SELECT i, list_transform(regexp_extract_all(t, '{pattern}', 0), x -> length(x)) AS ms,
-    list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), x -> length(x)) AS gs,
-    list_transform(string_split_regex(t, '{pattern}'), x -> length(x)) AS bs FROM d)))
+   SELECT i, list_transform(regexp_extract_all(t, '{pattern}', 0), lambda x: length(x)) AS ms,
+    list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), lambda x: length(x)) AS gs,
+    list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS bs FROM d)))
  WHERE g >= {rule.least}""")
     return " UNION ALL ".join(parts)
 
@@ -109,3 +109,8 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda rule: F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("long").alias(f"n_{rule}")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
