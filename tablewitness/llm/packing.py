@@ -1,8 +1,9 @@
 """Packing of documents into training sequences as a cutting-stock problem.
 
-Documents are tokenized once and cut into full sequences and one rest each. The rests are counted by
+Documents are tokenized once and cut into full sequences and a rest, which is cut once more when it is
+longer than half a sequence: short pieces fill sequences with little padding. Pieces are counted by
 length class (a histogram of at most ``capacity / width`` classes, however many documents there are).
-A linear program over patterns (how many rests of each class share a sequence) minimises the number
+A linear program over patterns (how many pieces of each class share a sequence) minimises the number
 of sequences; its columns are generated: the duals price the classes, and a knapsack by dynamic
 programming finds the best new pattern. The solution is rounded down, what is left over is filled
 greedily, and the patterns are dealt to the documents by their rank inside their class.
@@ -97,8 +98,10 @@ def pieces(documents: DataFrame, capacity: int = 2048, end_id: int = 1, tokenize
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 code = encode(text or "") + end
                 total = len(code) // 4
-                for start in range(0, total, capacity):
-                    cut = code[4 * start : 4 * (start + capacity)]
+                full, half = total // capacity * capacity, capacity // 2
+                cuts = [*range(0, full, capacity), *range(full, total, half), total]
+                for start, stop in zip(cuts, cuts[1:]):
+                    cut = code[4 * start : 4 * stop]
                     rows.append((doc, part, start, len(cut) // 4, zlib.crc32(cut), total))
                     if with_ids:
                         ids.append(np.frombuffer(cut, "<i4"))
@@ -134,13 +137,14 @@ def best_pattern(prices: np.ndarray, units: np.ndarray, capacity: int) -> tuple[
     return float(worth[capacity]), pattern
 
 
-def patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3) -> list[tuple[dict[int, int], int]]:
+def patterns(demand: dict[int, int], capacity: int, gap: float = 5e-3) -> list[tuple[dict[int, int], int]]:
     """Patterns and how often each is used, so that every class is used exactly as often as demanded.
 
     ``demand`` maps a class, its size in units, to a count. Column generation by the revised simplex
-    method from one-class patterns; rounding down; a greedy filling of the rest, largest first. The
-    program's value divided by the worth of the best new pattern is a lower bound of the optimum, so it
-    ends within a share ``gap`` of it.
+    method from one-class patterns; rounding down; a greedy filling of the rest, largest first.
+    Duals are smoothed towards those of the best lower bound so far, at first the share of a sequence
+    that a class fills. Any duals, divided by the worth of their best pattern, bound the program from
+    below; it ends within a share ``gap`` of the best bound.
     """
     units = np.array(sorted(c for c, n in demand.items() if n > 0), np.int64)
     if not len(units):
@@ -149,11 +153,21 @@ def patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3) -> list[t
     m = len(units)
     columns = np.diag(capacity // units).astype(np.float64)
     inverse = np.diag(1.0 / (capacity // units))
-    amount = inverse @ want
-    for _ in range(50 * m):
-        worth, pattern = best_pattern(np.ones(m) @ inverse, units, capacity)
-        if worth <= 1 + gap:
-            break
+    # Slightly uneven demands, so that no pivot is without gain; what is dealt out below uses the true ones.
+    amount = inverse @ (want * (1 + 1e-4 * np.sin(np.arange(1, m + 1) * 12.9898)) + 1e-3)
+    center = units / capacity
+    bound, smooth = float(center @ want), 0.8
+    while amount.sum() > bound * (1 + gap):
+        duals = inverse.sum(0)
+        asked = np.maximum(0, smooth * center + (1 - smooth) * duals)
+        worth, pattern = best_pattern(asked, units, capacity)
+        if asked @ want / worth > bound:
+            bound, center = float(asked @ want / worth), asked / worth
+        if duals @ pattern <= 1 + 1e-9:  # nothing gained at the smoothed duals: come closer to the true ones
+            if smooth < 1e-3:
+                break
+            smooth /= 2
+            continue
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         leave = int(ratio.argmin())
@@ -163,6 +177,7 @@ def patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3) -> list[t
         others = np.arange(m) != leave
         inverse[others] -= np.outer(step[others], inverse[leave])
         columns[:, leave] = pattern
+        smooth = 0.8
     left = want.astype(np.int64)
     out = []
     for k in range(m):
@@ -190,13 +205,17 @@ def pack(documents: DataFrame, capacity: int = 2048, width: int = 8, end_id: int
     ``width`` is the width of a length class in tokens: a pattern reserves that much at most in vain
     for each piece. Repeated rows are packed each; an empty table gives no sequences.
     """
+    if capacity % (2 * width):
+        raise ValueError("capacity is a multiple of twice the width")
     spark = documents.sparkSession
     cut = stage(pieces(documents, capacity, end_id, tokenizer, with_ids), "pieces")
     sized = cut.withColumn("class", F.ceil(F.col("length") / width).cast("int"))
     counts = sized.groupBy("part", "class").agg(F.count("*").alias("n"))
     demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # at most capacity / width rows
     plan, base, sequences = [], dict.fromkeys(demand, 0), 0
-    for pattern, n in patterns(demand, capacity // width):
+    whole = {c: n for c, n in demand.items() if c * width == capacity}  # sequences of their own
+    rests = {c: n for c, n in demand.items() if c not in whole}
+    for pattern, n in [*patterns(rests, capacity // width), *(({c: 1}, n) for c, n in whole.items())]:
         slot = 0
         for c, each in pattern.items():
             plan.append((c, base[c], base[c] + each * n, each, sequences, slot))
