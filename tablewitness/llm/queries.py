@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewitness.llm import language, packing, reputation, secrets, simhash
+from tablewitness.llm import chunks, language, licenses, packing, reputation, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,3 +119,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.edited_likeness(table(spark, folder, "documents"))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeated(table(spark, folder, "documents"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.find(table(spark, folder, "documents"))
