@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewitness.llm import chunks, contamination, language, licenses, packing, reputation, secrets, simhash
+from tablewitness.llm import chunks, contamination, jaccard, language, licenses, packing, reputation, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,3 +134,8 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_decontamination")
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
