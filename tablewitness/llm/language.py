@@ -204,3 +204,15 @@ def identify_documents(documents: DataFrame, **options) -> DataFrame:
     learn = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     model = fit(learn.select("doc_id", "lang", "text"), **options)
     return identify(documents, model)
+
+
+def keep_known(documents: DataFrame, **options) -> DataFrame:
+    """The documents, with their columns, that are not undetermined; without labelled rows those with a letter."""
+    learn = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    model = fit(learn.select("doc_id", "lang", "text"), **options)
+    if model is None:
+        return documents.where(has_letter(F.col("text")))
+    columns = [f"_{k}" for k in range(len(documents.columns))]  # so that no name clashes
+    at = documents.columns.index("text")
+    plain = documents.toDF(*(c if k != at else "text" for k, c in enumerate(columns)))
+    return identify(plain, model).where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score").toDF(*documents.columns)

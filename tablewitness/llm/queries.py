@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewitness.llm import chunks, contamination, jaccard, language, licenses, packing, reputation, secrets, simhash
+from tablewitness.llm import chunks, contamination, jaccard, language, licenses, packing, repeats, reputation, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +139,9 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All copies of a repeated string go, the first as well."""
+    return repeats.remove(table(spark, folder, "documents"), keep_first=False, with_text=False)
