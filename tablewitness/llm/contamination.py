@@ -60,7 +60,7 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]], region: int, rate: float):
         texts = [_plain(np.frombuffer(text.encode(), np.uint8)) for _, text in items]
-        self.ids = np.array([i for i, _ in items], np.int64)
+        self.ids = [i for i, _ in items]
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.offsets = np.r_[0, np.cumsum(self.sizes)]
         self.data = np.concatenate(texts)
@@ -221,7 +221,7 @@ def _finder(block: Block):
             if found:
                 row, item, start, end, edits = (np.array(x, np.int64) for x in zip(*found))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").take(pa.array(row)), "item_id": block.ids[item], "start": start, "end": end, "edits": edits,
+                    "doc_id": batch.column("doc_id").take(pa.array(row)), "item_id": pa.array([block.ids[i] for i in item], pa.int64()), "start": start, "end": end, "edits": edits,
                 })
 
     return run

@@ -242,8 +242,8 @@ def pack(documents: DataFrame, capacity: int = 2048, width: int = 8, end_id: int
         return out.drop("part")
     keys = ["part", "doc_id", "start", "ids_crc32"]
     marked = out.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy("sequence_id", "offset")))
-    texts = cut.select(*keys, "ids").withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    same = (marked["_copy"] == texts["_copy"]) & marked["doc_id"].eqNullSafe(texts["doc_id"])
-    for key in ("part", "start", "ids_crc32"):
-        same = same & (marked[key] == texts[key])
-    return marked.join(texts, same).select(*(marked[c] for c in out.columns if c != "part"), texts["ids"])
+    texts = cut.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).select(*(F.col(c).alias(f"_of_{c}") for c in (*keys, "_copy")), "ids")
+    same = F.lit(True)
+    for key in (*keys, "_copy"):
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    return marked.join(texts, same).select(*(c for c in out.columns if c != "part"), "ids")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tablewitness.llm.textbytes import Rolling, lower, mix, slices, spaces, utf8, words
 
@@ -66,7 +67,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         for batch, data, offsets in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_hex(prints(data, offsets)))], names=[*kept, "fingerprint"])
 
-    return rows.mapInArrow(run, rows.schema.add("fingerprint", "string"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fingerprint", StringType())]))
 
 
 def within(marked: DataFrame, radius: int = 3, extra: int = 2) -> DataFrame:
