@@ -61,4 +61,4 @@ def sql_long(source: str, columns: Sequence[str], extra: Sequence[str] = ()) ->
 
 def sql_unit(seed: int, tag: str, keys: str) -> str:
     """SQL for the hash-based random number of ``scalars.unit_hash``."""
-    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{tag}', {keys})), 1, 8))::BIGINT / 4294967296e0)"
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{tag}', {keys})), 1, 13))::BIGINT / 4503599627370496e0)"

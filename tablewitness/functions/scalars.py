@@ -90,8 +90,8 @@ def shuffle_key(seed: int, tag: str, keys: Sequence[str]) -> Column:
 
 
 def unit_hash(seed: int, tag: str, keys: Sequence[str]) -> Column:
-    """A pseudo-random number in [0, 1) per row, from the first 32 bits of md5."""
-    return F.conv(F.substring(shuffle_key(seed, tag, keys), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """A pseudo-random number in [0, 1) per row, from the first 52 bits of md5."""
+    return F.conv(F.substring(shuffle_key(seed, tag, keys), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
 def normal_hash(seed: int, tag: str, keys: Sequence[str]) -> Column:

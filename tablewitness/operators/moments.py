@@ -156,7 +156,8 @@ def reconstruction_error(df: DataFrame, columns: Sequence[str], by: Sequence[str
     """Mean squared residual after projecting z-scored rows on their five main components.
 
     That equals the sum of the remaining eigenvalues of the correlation matrix over the number of
-    columns, so rows are read only for the d x d correlations. Constant columns add nothing.
+    columns, so rows are read only for the d x d correlations. Constant columns add nothing. Datasets of ten
+    rows or fewer say too little: null.
     """
     filled = fill_means(df, columns, by, single)
     live = filled.groupBy(*by).agg(
@@ -164,14 +165,15 @@ def reconstruction_error(df: DataFrame, columns: Sequence[str], by: Sequence[str
             F.array(*[F.when(F.stddev_pop(c) > 0, F.lit(c)) for c in columns])
         ).alias("_live"),
         F.lit(len(columns)).alias("_d"),
+        (F.count(F.lit(1)) > 10).alias("_enough"),
     )
     if len(columns) == 1:
-        return live.select(*by, F.lit(0.0).alias("reconstruction_error"))
+        return live.select(*by, F.when(F.col("_enough"), F.lit(0.0)).alias("reconstruction_error"))
     cells = (
         correlations(filled, columns, by, single)
         .groupBy(*by)
         .agg(F.collect_list(F.struct("a", "b", "r")).alias("_cells"))
     )
     return live.join(cells, list(by)).select(
-        *by, _tail_share("_cells", "_live", "_d").alias("reconstruction_error")
+        *by, F.when(F.col("_enough"), _tail_share("_cells", "_live", "_d")).alias("reconstruction_error")
     )

@@ -6,6 +6,7 @@ scoring still run as Spark ML jobs over however many rows there are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -304,10 +305,18 @@ def train_single(features: DataFrame, settings: Settings | None = None) -> tuple
 
 
 def load_or_train(spark: SparkSession, path: str, corpus, settings: Settings | None = None) -> StackedModel:
-    """The saved model if there is one, else train on ``corpus()`` and save."""
-    try:
+    """The saved model if there is one, else train on ``corpus()`` and save.
+
+    Only a path that is not there leads to training; a model that cannot be read raises. A new model is
+    written beside its place and moved there whole.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(place):
         return StackedModel.load(spark, path)
-    except Exception:  # noqa: BLE001
-        model, _ = train(corpus(), settings)
-        model.save(path)
-        return model
+    model, _ = train(corpus(), settings)
+    written = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    model.save(written)
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(written), place):
+        raise OSError(f"cannot move {written} to {path}")
+    return model

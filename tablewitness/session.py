@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -65,7 +66,11 @@ def together(tasks: Sequence[Callable[[], R]], jobs: int = 8) -> list[R]:
     """Run independent Spark jobs at the same time and return their results in order.
 
     Small jobs fill the gaps of large ones, and each keeps a plan of its own instead of being one
-    branch of a huge plan that is re-optimised whenever any stage ends.
+    branch of a huge plan that is re-optimised whenever any stage ends. The threads keep the caller's job
+    group, description and pool; when one task fails, those that have not begun are dropped.
     """
-    with ThreadPoolExecutor(jobs) as pool:
-        return list(pool.map(lambda task: task(), tasks))
+    pool = ThreadPoolExecutor(jobs)
+    try:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(task)) for task in tasks]]
+    finally:
+        pool.shutdown(cancel_futures=True)

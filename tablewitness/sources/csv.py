@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ NA_VALUES = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Columns that give the order of rows in files: file, start of the split, position in it.
+FILE_ORDER = ("__file", "__split", "__row")
+
 
 def _header(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     first = spark.read.option("header", True).option("inferSchema", False).csv(paths)
@@ -28,9 +32,29 @@ def _header(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     return names
 
 
-def read_raw_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All columns as text. Rows with too many fields are skipped, short rows filled with nulls."""
-    names = _header(spark, list(paths) if not isinstance(paths, str) else paths)
+def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
+    """The first line with text of each file, by path, in one job that reads the head of the files."""
+    lines = (
+        spark.read.text(paths if isinstance(paths, str) else list(paths))
+        .select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .where((F.col("file_block_start") == 0) & (F.trim("value") != ""))
+        .withColumn("at", F.monotonically_increasing_id())
+    )
+    found = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("line")).collect()  # one short row for each file
+    return {unquote(r["file_path"]): r["line"] for r in found}
+
+
+def read_raw_csv(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True) -> DataFrame:
+    """All columns as text. Rows with too many fields are skipped, short rows filled with nulls.
+
+    With ``multiline`` a quoted field may hold line ends, and a file is read by one task; without it large
+    files are split, which is only right when no field holds one. Files with another header than the
+    first are an error, since columns go by position.
+    """
+    paths = paths if isinstance(paths, str) else list(paths)
+    if len(set(first_lines(spark, paths).values())) > 1:
+        raise ValueError("the files have different headers; read_csv_folder reads each kind by itself")
+    names = _header(spark, paths)
     spare = f"_extra_{uuid.uuid4().hex[:8]}"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, spare]])
     raw = (
@@ -38,13 +62,13 @@ def read_raw_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
-        .option("multiLine", False)
+        .option("multiLine", multiline)
         .option("escape", '"')
-        .csv(list(paths) if not isinstance(paths, str) else paths)
+        .csv(paths)
     )
     kept = raw.where(F.col(spare).isNull())
     text = [F.when(~F.col(f"`{n}`").isin(*NA_VALUES), F.col(f"`{n}`")).alias(n) for n in names]
-    return kept.select(*text, "_metadata.file_path")
+    return kept.select(*text, "_metadata.file_path", F.col("_metadata.file_block_start").alias(FILE_ORDER[1]), F.monotonically_increasing_id().alias(FILE_ORDER[2]))
 
 
 def narrowest_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
@@ -77,21 +101,23 @@ def narrowest_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return kinds
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], dataset_id: bool = False) -> DataFrame:
-    """CSV as a typed table. ``dataset_id`` adds the file each row came from.
+def read_csv(
+    spark: SparkSession, paths: str | Sequence[str], dataset_id: bool = False, multiline: bool = True, ordered: bool = False
+) -> DataFrame:
+    """CSV as a typed table. ``dataset_id`` adds the file each row came from, ``ordered`` the columns FILE_ORDER.
 
     An unreadable source raises ``ValueError``.
     """
     try:
-        raw = read_raw_csv(spark, paths)
-        columns = [c for c in raw.columns if c != "file_path"]
+        raw = read_raw_csv(spark, paths, multiline)
+        columns = [c for c in raw.columns if c not in ("file_path", *FILE_ORDER)]
         kinds = narrowest_types(raw, columns)
     except Exception as error:  # noqa: BLE001
         raise ValueError(f"Failed to read CSV file: {error}") from error
     typed = [F.trim(F.col(f"`{c}`")).cast(k).alias(c) if k != "string" else F.col(f"`{c}`") for c, k in kinds.items()]
-    if dataset_id:
-        return raw.select(F.col("file_path").alias("dataset_id"), *typed)
-    return raw.select(*typed)
+    lead = [F.col("file_path").alias("dataset_id")] if dataset_id else []
+    order = [F.col("file_path").alias(FILE_ORDER[0]), *FILE_ORDER[1:]] if ordered else []
+    return raw.select(*lead, *typed, *order)
 
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
@@ -107,18 +133,16 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return [r[0] for r in listing.orderBy("path").collect()]
 
 
-def read_csv_folder(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """One typed table per header found, each with ``dataset_id`` = file. Empty files are ignored.
+def read_csv_folder(spark: SparkSession, folder: str, multiline: bool = True) -> list[DataFrame]:
+    """One typed table per header found, each with ``dataset_id`` = file. Files without a line are ignored.
 
-    Files that share a header are read together, so thousands of files stay one job.
+    Headers come from one job over all files, and files that share one are read together. Errors are raised.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in csv_files(spark, folder):
-        try:
-            groups.setdefault(tuple(_header(spark, path)), []).append(path)
-        except Exception:  # noqa: BLE001
-            continue
-    return [read_csv(spark, paths, dataset_id=True) for paths in groups.values()]
+    groups: dict[str, list[str]] = {}
+    files = csv_files(spark, folder)
+    for path, line in sorted(first_lines(spark, files).items()) if files else ():
+        groups.setdefault(line, []).append(path)
+    return [read_csv(spark, paths, dataset_id=True, multiline=multiline) for paths in groups.values()]
 
 
 def read_first_csv(spark: SparkSession, folder: str) -> DataFrame:

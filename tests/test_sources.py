@@ -41,6 +41,29 @@ def test_folder_groups_by_header_and_skips_empty(spark, tmp_path):
     assert read_first_csv(spark, str(tmp_path / "d")).count() == 1
 
 
+def test_quoted_line_ends_and_headers(spark, tmp_path):
+    path = write(tmp_path, "q.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    assert {tuple(r) for r in read_csv(spark, path).collect()} == {(1, "x\ny"), (2, "z")}
+    write(tmp_path, "h/one.csv", "a,b\n1,2\n")
+    write(tmp_path, "h/two.csv", "b,a\n3,4\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_csv(spark, str(tmp_path / "h"))
+    tables = read_csv_folder(spark, str(tmp_path / "h"))
+    assert sorted((r["a"], r["b"]) for t in tables for r in t.collect()) == [(1, 2), (4, 3)]
+
+
+def test_file_order_reaches_the_domain(spark, tmp_path):
+    """A random walk by the hour is a sensor only when rows keep the order of the file."""
+    import random
+
+    rng, value, lines = random.Random(3), 20.0, []
+    for i in range(500):
+        value += rng.gauss(0, 1)
+        lines.append(f"2024-01-{1 + i // 24:02d} {i % 24:02d}:00:00,{value:.3f}")
+    r = score_csv(spark, write(tmp_path, "w.csv", "timestamp,sensor\n" + "\n".join(lines) + "\n")).first()
+    assert r["context_flags"]["dataset_type"] == "sensor_iot"
+
+
 def test_no_csv_in_bundle(spark, tmp_path):
     write(tmp_path, "n/readme.txt", "nothing")
     with pytest.raises(FileNotFoundError):
