@@ -119,7 +119,7 @@ def _resample_sql(name: str, count: str, tag: str, source: str = "t") -> str:
 @query(
     "cor06_duplicated",
     f"""WITH {_T}, {_resample_sql("more", f"round({_N} * 0.4)", "repeat")},
-        u AS (SELECT 'table' AS dataset_id, * FROM (SELECT row_idx, {', '.join(ORDERS)} FROM t WHERE {_unit("drop")} >= 0.4e0 UNION ALL SELECT * FROM more)) """
+        u AS (SELECT 'table' AS dataset_id, * FROM (SELECT row_idx, {', '.join(ORDERS)} FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'drop', {ROW})), row_idx) AS p FROM t) WHERE p > round({_N} * 0.4) UNION ALL SELECT * FROM more)) """
     + _select({k: f"CASE WHEN {_unit('gap.' + k)} >= 0.15e0 THEN {k} END" for k in ORDERS}, "u"),
 )
 def cor06(spark, folder):

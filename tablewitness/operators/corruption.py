@@ -23,10 +23,14 @@ from tablewitness.operators.columns import (
 )
 from tablewitness.operators.ordering import hash_rank, ordered_index
 from tablewitness.operators.permutation import permuted_columns
+from tablewitness.session import stage
 
 BY = ["dataset_id"]
 ROW = ["dataset_id", "row_idx"]
 DRAWS_PER_KEY = 50_000
+#: Statistics of so many groups at most, a row each, are broadcast; more meet salted rows.
+BROADCAST_GROUPS = 10_000
+SALTS = 64
 
 
 def indexed(df: DataFrame, order_cols: Sequence[str], dataset_id: str | None = None) -> DataFrame:
@@ -43,6 +47,19 @@ def numbers_of(t: DataFrame) -> list[str]:
     return numeric_columns(t, ROW)
 
 
+def beside(t: DataFrame, stats: DataFrame, spread: str = "row_idx", on: Sequence[str] = BY) -> DataFrame:
+    """Rows next to the statistics of their group, without bringing a group's rows together.
+
+    The statistics are written and counted. Few are broadcast; else ``spread`` salts the rows, so that a
+    group with a third of them is ``SALTS`` join keys.
+    """
+    stats = stage(stats, "stats")
+    if stats.count() <= BROADCAST_GROUPS:
+        return t.join(F.broadcast(stats), list(on))
+    copies = stats.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return t.withColumn("_s", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [*on, "_s"]).drop("_s")
+
+
 def _with_stats(t: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Extremes, mean, spread and counts per dataset next to each row."""
     stats = []
@@ -52,7 +69,7 @@ def _with_stats(t: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.min(x).alias(f"_lo_{c}"), F.max(x).alias(f"_hi_{c}"), F.avg(x).alias(f"_mu_{c}"),
             F.stddev_samp(x).alias(f"_sd_{c}"), F.count(x).alias(f"_n_{c}"),
         ]
-    return t.join(t.groupBy(*BY).agg(F.count(F.lit(1)).alias("_rows"), *stats), BY)
+    return beside(t, t.groupBy(*BY).agg(F.count(F.lit(1)).alias("_rows"), *stats))
 
 
 def _replace(t: DataFrame, source: DataFrame, changed: dict[str, Column]) -> DataFrame:
@@ -99,13 +116,13 @@ def draw_cells(t: DataFrame, seed: int, columns: Sequence[str], distinct: Sequen
     sizes = pool.groupBy(*BY, "column").agg(F.max("n").alias("_m")).join(rows, BY)
     sizes = sizes.withColumn("_salts", F.ceil(F.col("_rows") / F.col("_m") / F.lit(float(DRAWS_PER_KEY))))
     names = F.array(*[F.lit(c) for c in columns])
-    wish = t.select(*ROW, F.explode(names).alias("column")).join(sizes.drop("_rows"), [*BY, "column"])
+    wish = beside(t.select(*ROW, F.explode(names).alias("column")), sizes.drop("_rows"), on=[*BY, "column"])
     wish = wish.select(
         *ROW, "column",
         F.floor(unit_hash(seed, "draw", [*ROW, "column"]) * F.col("_m")).alias("pos"),
         F.pmod(F.col("row_idx"), F.col("_salts")).alias("_salt"),
     )
-    shelf = pool.join(sizes.select(*BY, "column", "_salts"), [*BY, "column"])
+    shelf = beside(pool, sizes.select(*BY, "column", "_salts"), "pos", [*BY, "column"])
     shelf = shelf.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts", "n")
     drawn = wish.join(shelf, [*BY, "column", "pos", "_salt"])
     wide = drawn.groupBy(*ROW).agg(
@@ -131,7 +148,7 @@ def normal(t: DataFrame, seed: int = 42) -> DataFrame:
     bent = lambda c: F.when(
         _coin(seed, f"bend.{c}") > 0.5, F.col(c) * F.col(c) / (F.col(f"_pk_{c}") + F.lit(1e-6))
     ).otherwise(F.col(c))
-    return _replace(t, noisy.join(peaks, BY), {c: bent(c) for c in cols})
+    return _replace(t, beside(noisy, peaks), {c: bent(c) for c in cols})
 
 
 def linear_combo(t: DataFrame, seed: int = 42, noise: float = 0.05) -> DataFrame:
@@ -151,7 +168,7 @@ def resample(t: DataFrame, count: Column, seed: int, tag: str) -> DataFrame:
     """``count`` rows per dataset drawn with replacement, placed behind the table."""
     sizes = t.groupBy(*BY).agg((F.max("row_idx") + 1).alias("_end"), F.count(F.lit(1)).alias("_rows"))
     places = ordered_index(t, ["row_idx"], BY, "_pos")
-    wish = places.join(sizes, BY).where(F.col("_pos") < count)
+    wish = beside(places, sizes).where(F.col("_pos") < count)
     wish = wish.select(
         *BY, (F.col("_end") + F.col("_pos")).alias("_new"), F.floor(unit_hash(seed, tag, ROW) * F.col("_rows")).alias("_pos")
     )
@@ -166,8 +183,10 @@ def blank_cells(t: DataFrame, share: float, seed: int, columns: Sequence[str], t
 
 
 def duplicated(t: DataFrame, seed: int = 42) -> DataFrame:
-    """Drop 40 % of the rows, append as many drawn with replacement, blank 15 % of the numbers."""
-    kept = t.where(unit_hash(seed, "drop", ROW) >= 0.4)
+    """Drop 40 % of the rows exactly, append as many drawn with replacement, blank 15 % of the numbers."""
+    ranked = hash_rank(t.withColumn("_h", shuffle_key(seed, "drop", ROW)), BY, "_h", ["row_idx"], "_pos")
+    rows = t.groupBy(*BY).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = beside(ranked, rows).where(F.col("_pos") >= F.round(F.col("_rows") * 0.4)).select(*t.columns)
     more = resample(t, F.round(F.col("_rows") * 0.4), seed, "repeat")
     return blank_cells(kept.unionByName(more), 0.15, seed, numbers_of(t), "gap")
 
@@ -332,7 +351,7 @@ def blank_column(t: DataFrame, level: float, seed: int) -> DataFrame:
 def back_to_size(t: DataFrame, sizes: DataFrame, seed: int, always: bool = False) -> DataFrame:
     """By a coin, a grown dataset is sampled back to ``sizes`` (``dataset_id, _target``) rows exactly."""
     hashed = t.withColumn("_h", shuffle_key(seed, "shrink", ROW))
-    ranked = hash_rank(hashed, BY, "_h", ["row_idx"], "_pos").join(sizes, BY)
+    ranked = beside(hash_rank(hashed, BY, "_h", ["row_idx"], "_pos"), sizes)
     coin = F.lit(True) if always else _coin(seed, "shrink") < 0.5
     return ranked.where(~coin | (F.col("_pos") < F.col("_target"))).select(*t.columns)
 

@@ -257,6 +257,7 @@ def temporal_columns(
 
 
 # Feature name -> (column measure, value without a usable column).
+# The defaults the rules were made with.
 _MEANS = {
     "adf_p_value": ("adf_p", 0.5),
     "kpss_p_value": ("kpss_p", 0.5),
