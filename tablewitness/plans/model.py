@@ -38,12 +38,12 @@ NOT_FEATURES = ("context_flags", "dataset_type", "dataset_id", "total_rows", "la
 
 @dataclass
 class Settings:
-    """Model sizes; the full-size setting is 300 boosted trees, 300 forest trees, 200 isolation trees."""
+    """Model sizes. Smaller ones are for trials and tests."""
 
-    boost_trees: int = 30
+    boost_trees: int = 300
     boost_step: float = 0.06
     boost_depth: int = 6
-    forest_trees: int = 100
+    forest_trees: int = 300
     forest_depth: int = 12
     isolation_trees: int = 200
     seed: int = 42
