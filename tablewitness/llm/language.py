@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewitness.llm.textbytes import slices
+from tablewitness.session import stage
 
 UNDETERMINED = "und"
 
@@ -70,24 +71,33 @@ def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(mine)), "gram": pa.array(list(mine), pa.int64()), "n": pa.array(list(mine.values()), pa.int64())})
 
 
-def fit(labelled: DataFrame, order: int = 3, sample_rows: int = 6000, min_context: int = 8) -> Model | None:
-    """Count the context trees on the rows (lang, text) of ``labelled``; None without any labelled text.
-
-    ``sample_rows`` bounds the training rows: a hash of the row thins larger inputs to about that
-    many. ``min_context`` is how often the longest contexts must occur to get a row of their own.
-    """
-    if not 1 <= order <= 3:
-        raise ValueError("order is 1, 2 or 3")
+def _thinned(labelled: DataFrame, sample_rows: int) -> DataFrame:
+    """Labelled rows, thinned by a hash of the row to about ``sample_rows``."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     total = rows.count()
     if total > sample_rows:
         share = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in labelled.columns)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         rows = rows.where(share < sample_rows / total)
+    return rows.select("lang", "text")
+
+
+def _counted(rows: DataFrame, order: int, min_context: int) -> Model | None:
     grams = rows.select("lang", "text").mapInArrow(lambda b: _grams(b, order), "lang string, gram bigint, n bigint")
     found = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return None if found.empty else _trees(found.sort_values(["lang", "gram"]), order, min_context)
 
 
+def fit(labelled: DataFrame, order: int = 3, sample_rows: int = 6000, min_context: int = 8) -> Model | None:
+    """Count the context trees on the rows (lang, text) of ``labelled``; None without any labelled text.
+
+    ``sample_rows`` bounds the training rows: a hash of the row thins larger inputs to about that
+    many. ``min_context`` is how often the longest contexts must occur to get a row of their own.
+    """
+    if not 1 <= order <= 3:
+        raise ValueError("order is 1, 2 or 3")
+    return _counted(_thinned(labelled, sample_rows), order, min_context)
+
+
 def _trees(found, order: int, min_context: int) -> Model:
     languages = sorted(found["lang"].unique())
     gram, n = found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
@@ -206,13 +216,61 @@ def identify_documents(documents: DataFrame, **options) -> DataFrame:
     return identify(documents, model)
 
 
-def keep_known(documents: DataFrame, **options) -> DataFrame:
-    """The documents, with their columns, that are not undetermined; without labelled rows those with a letter."""
+def rates(model: Model, data: np.ndarray, offsets: np.ndarray, spare_bits: float) -> np.ndarray:
+    """Bits per byte of each row in its best language, less ``spare_bits`` for the whole row; empty rows have 0."""
+    return (code_lengths(model, data, offsets).min(1) - spare_bits) / np.maximum(np.diff(offsets), 1)
+
+
+def rate_bound(rows: DataFrame, quantile: float, spare_bits: float, order: int = 3, min_context: int = 8) -> float:
+    """The ``quantile`` of the rates of labelled rows, each under a model of the half of the rows without it.
+
+    A model knows the texts it was counted on too well for a bound on others. Equal texts are in one half. The quantile
+    is a rank among n + 1, so at most its complement of rows like the labelled ones lies above it; fewer
+    rows than it takes for that have no bound (infinity). Where most rows are so short that the spare bits
+    pay for them, the bits per byte of all rows together are the bound.
+    """
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    models = [_counted(rows.where(F.col("half") != k), order, min_context) for k in (0, 1)]
+    if None in models:
+        return float("inf")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            half = batch.column("half").to_numpy()
+            own = np.stack([rates(m, data, offsets, spare_bits) for m in models], 1)[np.arange(len(half)), half]
+            yield pa.RecordBatch.from_pydict({"rate": own, "size": np.diff(offsets)})
+
+    found = rows.where(has_letter(F.col("text"))).select("text", "half").mapInArrow(run, "rate double, size bigint").toPandas()
+    rank = int(np.ceil((len(found) + 1) * quantile))
+    if rank > len(found):
+        return float("inf")
+    rate, size = found["rate"].to_numpy(), found["size"].to_numpy()
+    return float(max(np.sort(rate)[rank - 1], (rate * size + spare_bits).sum() / size.sum()))
+
+
+def keep_known(
+    documents: DataFrame, quantile: float = 0.999, margin: float = 2.0, spare_bits: float = 400.0, sample_rows: int = 6000, **options
+) -> DataFrame:
+    """The documents, with their columns, that have a letter and fit a learned language.
+
+    A text fits when its bits per byte in the best language are at most ``margin`` times ``rate_bound``: beyond the
+    quantile there are clean texts still. ``spare_bits`` of each text do not count: one pasted key of 20
+    bytes costs about so much, and shorter texts say too little. Without labelled rows, and with fewer
+    than about 1 / (1 - ``quantile``) of them, all texts with a letter stay.
+    """
     learn = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    model = fit(learn.select("doc_id", "lang", "text"), **options)
-    if model is None:
-        return documents.where(has_letter(F.col("text")))
+    learn = stage(_thinned(learn.select("doc_id", "lang", "text"), sample_rows), "labelled")  # read by each fit
+    bound = margin * rate_bound(learn, quantile, spare_bits, **options)
+    lettered = documents.where(has_letter(F.col("text")))
+    if bound == float("inf"):
+        return lettered
+    model = _counted(learn, **{"order": 3, "min_context": 8, **options})
     columns = [f"_{k}" for k in range(len(documents.columns))]  # so that no name clashes
     at = documents.columns.index("text")
-    plain = documents.toDF(*(c if k != at else "text" for k, c in enumerate(columns)))
-    return identify(plain, model).where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score").toDF(*documents.columns)
+    plain = lettered.toDF(*(c if k != at else "text" for k, c in enumerate(columns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            yield batch.filter(pa.array(rates(model, data, offsets, spare_bits) <= bound))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)

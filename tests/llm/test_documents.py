@@ -1,12 +1,15 @@
 """Operators on a small messy table, next to direct definitions."""
 
+import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewitness.llm import chunks, jaccard, language, licenses, packing, repeats, secrets, simhash
 from tests.llm.data import empty, messy, rows, texts
@@ -68,6 +71,26 @@ def test_language_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
 
 
+def test_language_stage_rejects_what_fits_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    junk = [
+        base64.b64encode(rng.randbytes(300)).decode(), base64.b64encode(rng.randbytes(3000)).decode(),
+        " ".join("".join(rng.choices("asdfghjkl;qwertyuiop", k=rng.randint(3, 10))) for _ in range(40)),
+        "Быстрая коричневая лиса прыгает через ленивую собаку и убегает в лес. " * 3, "敏捷的棕色狐狸跳过懒狗然后跑进森林里。" * 5,
+        "nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään, eikä palaa ennen iltaa",
+    ]
+    extra = [(-k, t, None) for k, t in enumerate(junk, 1)] + [(-100, "123 456", None), (-101, None, None), (-102, "Xu", None)]
+    found = language.keep_known(docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(8))
+    assert found.columns == docs.columns
+    kept = {r.doc_id for r in found.select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.where(language.has_letter(docs.text)).select("doc_id").collect()} | {-102}
+    lines = docs.selectExpr("doc_id", "substr(text, 1, 40) AS text", "lang").unionByName(docs.orderBy("doc_id").limit(20).selectExpr("-1000 - doc_id AS doc_id", "text", "lang"))
+    assert language.keep_known(lines).count() == lines.where(language.has_letter(F.col("text"))).count()  # long texts next to short labelled ones
+    few = docs.limit(300)  # too few labelled rows for the quantile
+    assert language.keep_known(few.unionByName(spark.createDataFrame(extra[:6], docs.schema))).count() == few.where(language.has_letter(docs.text)).count() + 6
+
+
 def _spans(text):
     found = []
     for k, rule in enumerate(secrets.RULES):
