@@ -72,11 +72,14 @@ SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/
  WHEN coalesce(bound, 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(rate, 6) AS rate, round(bound, 6) AS bound
 FROM r LEFT JOIN h2 ON r.host = h2.host""")
 def op2_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
-    """A labelled page counts as bad when its label (same id) says toxic or low quality."""
+    """A labelled page counts as bad when its label (same id) says toxic or low quality.
+
+    The SQL gives hosts without labelled pages no rate, so ``unlabelled`` is off here.
+    """
     pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
     outcomes = pages.select("page_id", reputation.host_of(F.col("url")).alias("host")).join(labels, F.col("page_id") == F.col("doc_id")).select("host", bad.alias("bad"))
-    judged = reputation.judge(pages, reputation.reputation(outcomes), RULES)
+    judged = reputation.judge(pages, reputation.reputation(outcomes), RULES, unlabelled=False)
     return judged.withColumns({"rate": F.round("rate", 6), "bound": F.round("bound", 6)})
 
 

@@ -57,3 +57,21 @@ def test_reputation(spark):
     }
     nothing = reputation.reputation(outcomes.limit(0))
     assert nothing.count() == 0 and reputation.judge(pages, nothing, rules).count() == len(urls)
+
+
+def test_reputation_of_unlabelled_hosts(spark):
+    labelled = [(f"h{k}.bad.org", 1) for k in range(30) for _ in range(5)] + [(f"h{k}.good.org", 0) for k in range(30) for _ in range(5)]
+    labelled += [(f"h{k}.d{k}.xyz", 1) for k in range(60) for _ in range(5)] + [(f"h{k}.d{k}.de", 0) for k in range(60) for _ in range(5)]
+    hosts = reputation.reputation(spark.createDataFrame(labelled, "host string, bad int"))
+    names = ["h1.bad.org", "new.bad.org", "a.b.bad.org", "bad.org", "new.good.org", "new.org", "fresh.xyz", "fresh.de", "fresh.museum", "", "h1.d1.xyz"]
+    pages = spark.createDataFrame([(k, f"http://{n}/p") for k, n in enumerate(names)] + [(99, None)], "page_id bigint, url string")
+    found = {r.host: r for r in reputation.judge(pages, hosts).collect()}
+    assert set(found) == set(names)
+    assert {n for n in names if found[n].verdict == "block"} == {"h1.bad.org", "new.bad.org", "a.b.bad.org", "bad.org", "fresh.xyz", "h1.d1.xyz"}
+    assert found["new.bad.org"].rate == found["a.b.bad.org"].rate > found["new.org"].rate > found["new.good.org"].rate
+    assert found["new.bad.org"].bound < found["h1.bad.org"].bound < found["h1.bad.org"].rate
+    assert found["fresh.museum"].rate == found[""].rate == pytest.approx((450 + 1) / (900 + 2))
+    known = {r.host: (r.rate, r.bound) for r in hosts.collect()}
+    assert all((found[n].rate, found[n].bound) == known[n] for n in names if n in known)
+    plain = {r.host: r for r in reputation.judge(pages, hosts, unlabelled=False).collect()}
+    assert {n for n in names if plain[n].bound is None} == set(names) - set(known)
