@@ -1,13 +1,20 @@
 """Decontamination next to a plain edit distance, and the queries and pipeline on the given tables."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from tablewitness.llm import contamination
 from tests.llm.data import empty, messy
 
 
+ROOT = Path(__file__).resolve().parents[2]
+
+
 def _distance(item, text):
     """Edit distance of item to the best stretch of text."""
     row = [0] * (len(text) + 1)
@@ -51,6 +58,61 @@ def test_against_edit_distance(spark):
     assert len(got) > 15
 
 
+def test_short_items(spark):
+    """One edit in the middle of 20 to 23 bytes leaves no common 12-gram, in longer ones few."""
+    rng = random.Random(3)
+    items = [(n, "".join(rng.choices("abcdefghijklmnop", k=n))) for n in (11, 12, 13, 19, 20, 21, 22, 23, 24, 39, 40, 41)]
+    docs = []
+    for n, item in items:
+        for p in range(0, n, 3):
+            docs.append((len(docs), f"xx{item[:p]}Q{item[p + 1 :]}yy"))
+            docs.append((len(docs), f"xx{item[:p]}{item[p + 1 :]}yy"))
+        docs.append((len(docs), f"{item[:5]} {item}"))
+    found = contamination.find(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, n) for i, t in docs for n, item in items if n >= 12 and _matches(item, t)}
+
+
+def test_rulers_in_bounded_memory(tmp_path):
+    """A million dashes, alone and in a period of two, against items that hold rulers; within 1 GB."""
+    code = f"""
+import resource, sys, numpy as np
+sys.path.insert(0, {str(ROOT)!r})
+from tablewitness.llm.contamination import Block
+from tablewitness.llm import contamination
+rule = "-" * 120
+items = [(1, "| a | b |\\n" + rule + "\\n| c | d |\\n" + rule), (2, "-" * 50 + " something else that stands in no text at all here"), (3, "-=" * 3000)]
+items += [(10 + k, "|" + "-" * (30 + k) + "| column %d of many in a table that is not there |" % k) for k in range(0, 300, 15)]
+block = Block(items, 80, 0.05)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text, want in (("-" * 1_000_000, {{1}}), ("-=" * 500_000, {{3}}), ("x" * 1000 + "-" * 5_000, {{1}})):
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = block.matches(data, np.array([0, len(data)]))
+    ids = {{block.ids[m[1]] for m in found}}
+    assert ids & {{1, 2, 3}} == want, (text[:4], ids)
+used = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+assert used < 1_000_000, used
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+
+
+def test_windows_give_the_same(monkeypatch):
+    """Rows read in windows and in one piece have the same matches."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcd", k=rng.randint(1, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, prose(n)) for k, n in enumerate((30, 45, 60, 400))]
+    texts = [f"{prose(800)} {_noisy(rng, item, e)} {prose(500)}" for _, item in items for e in (0, 2, 3, 4, 6)] + [prose(2000), "", "a"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    whole = sorted(contamination.Block(items, 80, 0.05).matches(data, offsets))
+    monkeypatch.setattr(contamination, "_PAIRS", 1)
+    monkeypatch.setattr(contamination, "WINDOW", 64)
+    assert sorted(contamination.Block(items, 80, 0.05).matches(data, offsets)) == whole and len(whole) > 10
+    monkeypatch.setattr(contamination, "PIECE", 100)
+    assert {m[:2] for m in contamination.Block(items, 80, 0.05).matches(data, offsets)} == {m[:2] for m in whole}
+
+
 def test_awkward_tables(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, "a text of no item at all, with a null id")], "item_id bigint, text string")
     docs = messy(spark)
