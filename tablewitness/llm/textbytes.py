@@ -48,10 +48,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _table(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _MIX + np.uint64(seed))
-
-
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -65,22 +61,42 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, the first lowest; zeros follow the end."""
+    x = np.zeros(len(data) + 8, np.uint64)
+    x[: len(data)] = data
+    for k in (1, 2, 4):
+        x[:-k] |= x[k:] << np.uint64(8 * k)
+    return x[: len(data)]
+
+
 class Rolling:
     """Hashes of any substring of ``data`` in constant time each, by prefix sums modulo 2**64.
 
-    ``seed`` chooses an independent hash; two of them make a digest of 128 bits.
+    The terms are the eight bytes from each position on, mixed: sums of plain bytes modulo a power of two collide
+    on Thue-Morse strings under every base. Substrings below eight bytes are mixed as they are. ``seed`` chooses
+    the mixing; two of them make a digest of 128 bits.
     """
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         n = len(data)
+        self.eight = eights(data)
+        self.seed = np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_table(seed)[data] * _powers(_BASE, n)[:n], out=self.sums[1:])
+        np.cumsum(mix(self.eight + self.seed) * _powers(_BASE, n)[:n], out=self.sums[1:])
         self.back = _powers(_BACK, n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of data[start:end], with the length mixed in."""
-        raw = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(raw + np.asarray(end - start).astype(np.uint64) * _MIX)
+        start, end = np.asarray(start), np.asarray(end)
+        size = end - start
+        raw = (self.sums[np.maximum(end - 7, start)] - self.sums[start]) * self.back[start]
+        few = np.flatnonzero(size < 8)
+        if len(few):
+            at = np.minimum(start[few], max(len(self.eight) - 1, 0))
+            mask = (np.uint64(1) << (size[few].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            raw[few] = mix((self.eight[at] & mask) + self.seed) if len(self.eight) else self.seed
+        return mix(raw + size.astype(np.uint64) * _MIX)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
