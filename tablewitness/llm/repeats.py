@@ -54,6 +54,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     nothing = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if len(data) < length:
         return nothing
+    if len(data) > int(_PLACE):
+        raise ValueError("texts of 256 MB and more have to be split before")
     rolling = Rolling(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = rolling.of(at, at + GRAM)
@@ -70,7 +72,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return row, begin - offsets[row], last - first + 1, grams[anchor[first]], Rolling(data, 2).of(begin, end)
 
 
-_RUN = "anchor bigint, run bigint, doc bigint, key int, packed bigint"
+_RUN = "anchor bigint, run bigint, doc bigint, key bigint, packed bigint"
 
 
 def _find_runs(length: int):
@@ -106,7 +108,7 @@ def _find_runs(length: int):
     return run
 
 
-_MARKED = "what int, anchor bigint, doc bigint, key int, start bigint, starts bigint, own boolean, several boolean"
+_MARKED = "what int, anchor bigint, doc bigint, key bigint, start bigint, starts bigint, own boolean, several boolean"
 
 
 def _resolve(keep_first: bool):
@@ -166,7 +168,7 @@ def _resolve(keep_first: bool):
     return run
 
 
-_OPENED = "what int, one bigint, two bigint, bytes binary, doc bigint, key int, start bigint, own boolean, several boolean"
+_OPENED = "what int, one bigint, two bigint, bytes binary, doc bigint, key bigint, start bigint, own boolean, several boolean"
 
 
 def _open(length: int):
@@ -222,31 +224,33 @@ class SuffixOrder:
             equal = inside & (rank[np.minimum(a, len(rank) - 1)] == rank[np.minimum(b, len(rank) - 1)])
             self.common[1:] += step * equal
 
-    def _nearest_earlier(self, at: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """Common length with the nearest entry before, in this order, that lies earlier in the text."""
+    @staticmethod
+    def _nearest_smaller(at: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Common length with the nearest entry before, in this order, whose place is smaller."""
         n = len(at)
         near, shared = np.arange(n) - 1, common.copy()
         todo = np.flatnonzero((near >= 0) & (at[near] > at))
-        while len(todo):  # all entries up to the one that the nearest one points at lie later as well
+        while len(todo):  # all entries up to the one that the nearest one points at have greater places as well
             via = near[todo]
             shared[todo] = np.minimum(shared[todo], shared[via])
             near[todo] = near[via]
             todo = todo[(near[todo] >= 0) & (at[near[todo]] > at[todo])]
         return np.where(near >= 0, shared, 0)
 
-    def previous(self) -> np.ndarray:
-        """The longest previous factor of each chosen suffix, in the order they were given."""
-        before = self._nearest_earlier(self.at, self.common)
-        back = self._nearest_earlier(self.at[::-1], np.r_[0, self.common[:0:-1]])[::-1]
-        out = np.zeros(len(self.at), np.int64)
+    def _factors(self, at: np.ndarray) -> np.ndarray:
+        before = self._nearest_smaller(at, self.common)
+        back = self._nearest_smaller(at[::-1], np.r_[0, self.common[:0:-1]])[::-1]
+        out = np.zeros(len(at), np.int64)
         out[self.order] = np.maximum(before, back)
         return out
 
-    def longest(self) -> np.ndarray:
-        """The longest factor that a chosen suffix shares with any other."""
-        out = np.zeros(len(self.at), np.int64)
-        out[self.order] = np.maximum(self.common, np.r_[self.common[1:], 0])
-        return out
+    def previous(self) -> np.ndarray:
+        """The longest previous factor of each chosen suffix, in the order they were given."""
+        return self._factors(self.at)
+
+    def following(self) -> np.ndarray:
+        """The longest factor that starts again later: previous factors with the places in reverse."""
+        return self._factors(-self.at)
 
 
 def _sorted_runs(length: int, keep_first: bool):
@@ -260,7 +264,9 @@ def _sorted_runs(length: int, keep_first: bool):
         which = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         order = SuffixOrder(np.frombuffer(b"".join(texts), np.uint8), begin[which] + nth)
-        hit = (order.previous() if keep_first else order.longest()) >= length
+        hit = order.previous() >= length
+        if not keep_first:
+            hit |= order.following() >= length
         hit &= rows.column("own").to_numpy(zero_copy_only=False)[which]
         which, nth = which[hit], nth[hit]
         new = np.ones(len(which), bool)
@@ -312,7 +318,7 @@ def spans(documents: DataFrame, length: int = 200, keep_first: bool = True) -> D
     opened = docs.join(opens, ["doc", "key"]).dropDuplicates(["doc", "key"]).select("doc", "key", "text", "open").mapInArrow(_open(length), _OPENED)
     opened = stage(opened, "opened")
     runs_ = opened.where("what = 1").repartition(parts, "one").sortWithinPartitions("one")
-    sorted_ = runs_.mapInArrow(_sorted_runs(length, keep_first), "doc bigint, key int, start bigint, end bigint")
+    sorted_ = runs_.mapInArrow(_sorted_runs(length, keep_first), "doc bigint, key bigint, start bigint, end bigint")
     strings = opened.where("what = 2").select("one", "two", "doc", "key", "start", "own", "several")
     place = F.struct("doc", "key", "start")
     counts = strings.groupBy("one", "two").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("times"), F.min(place).alias("first")).where(F.col("times") > 1)
@@ -325,7 +331,7 @@ def spans(documents: DataFrame, length: int = 200, keep_first: bool = True) -> D
 
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.shiftright(F.xxhash64(text), 33).cast("int").alias("key"), text.alias("text"))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def remove(documents: DataFrame, length: int = 200, keep_first: bool = True, with_text: bool = True) -> DataFrame:
