@@ -67,19 +67,21 @@ d1 AS (SELECT domain, (w * prior + bad) / (w + n) AS prior FROM (SELECT *, {_SQL
 h0 AS (SELECT h.*, d1.prior FROM h JOIN d1 USING (domain)),
 h1 AS (SELECT host, n, w, (w * prior + bad) / (w + n) AS rate FROM (SELECT *, {_SQL_STRENGTH.format('h0')} AS w FROM h0)),
 h2 AS (SELECT host, rate, greatest(0, rate - 1.645 * sqrt(rate * (1 - rate) / (w + n + 1))) AS bound FROM h1),
+names AS (SELECT DISTINCT host, regexp_extract(host, '([^.]*(?:(?:^|\\.)(?:{_SECOND})\\.[a-z][a-z]|\\.[^.]*|))$', 1) AS domain,
+ regexp_extract(host, '((?:^|\\.)(?:(?:{_SECOND})\\.[a-z][a-z]|[^.]*))$', 1) AS suffix FROM judged),
+u AS (SELECT names.host, h2.bound AS own, coalesce(h2.rate, d1.prior, s1.prior, (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM h)) AS rate,
+  {_SQL_STRENGTH.format('h0')} AS w FROM names LEFT JOIN h2 USING (host) LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix)),
+v AS (SELECT host, rate, coalesce(own, greatest(0, rate - 1.645 * sqrt(rate * (1 - rate) / (w + 1)))) AS bound FROM u),
 r AS (SELECT *, {_SQL_RULE} AS rule FROM judged)
 SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
  WHEN coalesce(bound, 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(rate, 6) AS rate, round(bound, 6) AS bound
-FROM r LEFT JOIN h2 ON r.host = h2.host""")
+FROM r JOIN v ON r.host = v.host""")
 def op2_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
-    """A labelled page counts as bad when its label (same id) says toxic or low quality.
-
-    The SQL gives hosts without labelled pages no rate, so ``unlabelled`` is off here.
-    """
+    """A labelled page counts as bad when its label (same id) says toxic or low quality."""
     pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
     outcomes = pages.select("page_id", reputation.host_of(F.col("url")).alias("host")).join(labels, F.col("page_id") == F.col("doc_id")).select("host", bad.alias("bad"))
-    judged = reputation.judge(pages, reputation.reputation(outcomes), RULES, unlabelled=False)
+    judged = reputation.judge(pages, reputation.reputation(outcomes), RULES)
     return judged.withColumns({"rate": F.round("rate", 6), "bound": F.round("bound", 6)})
 
 

@@ -141,17 +141,31 @@ def with_unlabelled(names: DataFrame, hosts: DataFrame, z: float = 1.645) -> Dat
     return rows.select("host", "rate", F.coalesce(F.col("_bound"), _bound(F.lit(weight), z)).alias("bound"))
 
 
-def judge(pages: DataFrame, hosts: DataFrame, rules: Sequence[Rule] = (), block_above: float = 0.5, unlabelled: bool = True, z: float = 1.645) -> DataFrame:
+#: Fewest pages of a host that counts as hot.
+HOT_PAGES = 64
+
+
+def _beside_hosts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Rows with rate and bound of their host. A host with more than a thousandth of all rows, of which there are fewer than
+    a thousand, is broadcast; the others meet in a shuffle in which none is large."""
+    counts = stage(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "counts")
+    total = counts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    often = counts.where((F.col("pages") > HOT_PAGES) & (F.col("pages") > total / 1000)).select("host", F.lit(True).alias("hot"))
+    marked = rows.join(F.broadcast(often), "host", "left")
+    known = hosts.select("host", "rate", "bound")
+    hot = marked.where("hot").join(F.broadcast(known.join(F.broadcast(often), "host").drop("hot")), "host", "left")
+    return hot.unionByName(marked.where("hot IS NULL").join(known, "host", "left")).drop("hot")
+
+
+def judge(pages: DataFrame, hosts: DataFrame, rules: Sequence[Rule] = (), block_above: float = 0.5, z: float = 1.645) -> DataFrame:
     """Verdict for each page by its url: page_id, host, path, rule, verdict, rate, bound.
 
     Rules come first. Else a host whose lower bound is above ``block_above`` is blocked, and others are allowed. Hosts
-    without labelled pages have the bound of ``with_unlabelled``; with ``unlabelled=False`` they have none
-    and are allowed. Pages with a null url or without ``://`` have the empty host.
+    without labelled pages have the bound of ``with_unlabelled``. Pages with a null url or without ``://`` have the empty host.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    hosts = with_unlabelled(rows.select("host").distinct(), hosts, z) if unlabelled else hosts
-    rows = rows.join(hosts.select("host", "rate", "bound"), "host", "left")
+    rows = _beside_hosts(rows, stage(with_unlabelled(rows.select("host").distinct(), hosts, z), "judged"))
     verdict = F.when(F.coalesce(F.col("bound"), F.lit(0.0)) > block_above, "block").otherwise("allow")
     for rule in rules:
         verdict = F.when(F.col("rule") == rule.name, F.lit(rule.verdict)).otherwise(verdict)

@@ -73,5 +73,8 @@ def test_reputation_of_unlabelled_hosts(spark):
     assert found["fresh.museum"].rate == found[""].rate == pytest.approx((450 + 1) / (900 + 2))
     known = {r.host: (r.rate, r.bound) for r in hosts.collect()}
     assert all((found[n].rate, found[n].bound) == known[n] for n in names if n in known)
-    plain = {r.host: r for r in reputation.judge(pages, hosts, unlabelled=False).collect()}
-    assert {n for n in names if plain[n].bound is None} == set(names) - set(known)
+    # A host with most of the pages is judged apart from the others, with the same result.
+    many = pages.unionByName(spark.createDataFrame([(1000 + k, "http://h1.bad.org/p") for k in range(500)], "page_id bigint, url string"))
+    again = reputation.judge(many, hosts).collect()
+    assert len(again) == len(names) + 501 and sum(r.verdict == "block" for r in again) == 506
+    assert all((r.rate, r.bound) == (found[r.host].rate, found[r.host].bound) for r in again)
