@@ -71,13 +71,23 @@ def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(mine)), "gram": pa.array(list(mine), pa.int64()), "n": pa.array(list(mine.values()), pa.int64())})
 
 
+def quotas(counts: dict[str, int], total: int) -> dict[str, float]:
+    """The share of its rows that each language keeps: small ones all, the others as many rows each, ``total`` in all."""
+    left, out = total, {}
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(float(n), left / (len(counts) - k))
+        out[lang], left = take / n, left - take
+    return out
+
+
 def _thinned(labelled: DataFrame, sample_rows: int) -> DataFrame:
-    """Labelled rows, thinned by a hash of the row to about ``sample_rows``."""
+    """Labelled rows, thinned by a hash of the row to about ``sample_rows``, as even between the languages as they allow."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    if total > sample_rows:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(counts.values()) > sample_rows:
         share = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in labelled.columns)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        rows = rows.where(share < sample_rows / total)
+        keep = F.create_map(*(F.lit(x) for item in sorted(quotas(counts, sample_rows).items()) for x in item))
+        rows = rows.where(share < keep[F.col("lang")])
     return rows.select("lang", "text")
 
 
@@ -91,7 +101,7 @@ def fit(labelled: DataFrame, order: int = 3, sample_rows: int = 6000, min_contex
     """Count the context trees on the rows (lang, text) of ``labelled``; None without any labelled text.
 
     ``sample_rows`` bounds the training rows: a hash of the row thins larger inputs to about that
-    many. ``min_context`` is how often the longest contexts must occur to get a row of their own.
+    many; a language with few rows keeps them all. ``min_context`` is how often the longest contexts must occur to get a row of their own.
     """
     if not 1 <= order <= 3:
         raise ValueError("order is 1, 2 or 3")
@@ -180,13 +190,14 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     Null texts and texts without a letter get ``und`` and score 0, and so does all without a model.
     Ties go to the language that comes first by name.
     """
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score", "_letters")]
-    rows = documents.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(has_letter(F.col("text")), F.lit(False)).alias("_letters"))
+    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    mark = max(kept, key=len) + "_letters"  # a name that none of them has
+    rows = documents.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(has_letter(F.col("text")), F.lit(False)).alias(mark))
     schema = documents.select(*(F.col(f"`{c}`") for c in kept)).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            letters = batch.column(mark).to_numpy(zero_copy_only=False)
             lang, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             if model is not None:
                 bits = code_lengths(model, data, offsets)
@@ -225,9 +236,10 @@ def rate_bound(rows: DataFrame, quantile: float, spare_bits: float, order: int =
     """The ``quantile`` of the rates of labelled rows, each under a model of the half of the rows without it.
 
     A model knows the texts it was counted on too well for a bound on others. Equal texts are in one half. The quantile
-    is a rank among n + 1, so at most its complement of rows like the labelled ones lies above it; fewer
-    rows than it takes for that have no bound (infinity). Where most rows are so short that the spare bits
-    pay for them, the bits per byte of all rows together are the bound.
+    is a rank among n + 1, so at most its complement of rows like the labelled ones lies above it; with fewer
+    rows than it takes for that the largest rate is the bound. Where most rows are so short that the spare bits
+    pay for them, the bits per byte of all rows together are the bound. Only without two different texts to learn from and
+    to measure there is none (infinity).
     """
     rows = rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
     models = [_counted(rows.where(F.col("half") != k), order, min_context) for k in (0, 1)]
@@ -241,9 +253,9 @@ def rate_bound(rows: DataFrame, quantile: float, spare_bits: float, order: int =
             yield pa.RecordBatch.from_pydict({"rate": own, "size": np.diff(offsets)})
 
     found = rows.where(has_letter(F.col("text"))).select("text", "half").mapInArrow(run, "rate double, size bigint").toPandas()
-    rank = int(np.ceil((len(found) + 1) * quantile))
-    if rank > len(found):
+    if found.empty:
         return float("inf")
+    rank = min(len(found), int(np.ceil((len(found) + 1) * quantile)))
     rate, size = found["rate"].to_numpy(), found["size"].to_numpy()
     return float(max(np.sort(rate)[rank - 1], (rate * size + spare_bits).sum() / size.sum()))
 
@@ -255,8 +267,8 @@ def keep_known(
 
     A text fits when its bits per byte in the best language are at most ``margin`` times ``rate_bound``: beyond the
     quantile there are clean texts still. ``spare_bits`` of each text do not count: one pasted key of 20
-    bytes costs about so much, and shorter texts say too little. Without labelled rows, and with fewer
-    than about 1 / (1 - ``quantile``) of them, all texts with a letter stay.
+    bytes costs about so much, and shorter texts say too little. Without two different labelled texts all texts with a
+    letter stay.
     """
     learn = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     learn = stage(_thinned(learn.select("doc_id", "lang", "text"), sample_rows), "labelled")  # read by each fit
