@@ -316,5 +316,7 @@ def join(documents: DataFrame) -> DataFrame:
 
 def representatives(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; rows that repeat an id stay once each text."""
-    kept = join(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    plain = documents.toDF(*(str(k) for k in range(len(documents.columns))))  # so that no name clashes
+    kept = join(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    mine = F.col(f"`{documents.columns.index('doc_id')}`").cast("long")
+    return plain.join(kept, mine.eqNullSafe(F.col("kept")), "left_semi").toDF(*documents.columns)

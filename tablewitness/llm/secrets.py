@@ -127,7 +127,8 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: Sequence[Rule] =
 
     ``spans`` is an array of (start, kind, rule, end) by start and then by the order of ``rules``;
     empty when nothing was found. Repeated rows each get theirs; null and empty texts have no spans.
-    ``ledger`` is a folder kept between runs; without one each run starts afresh.
+    ``ledger`` is a folder kept between runs; without one each run starts afresh. Two runs that scan the same new blobs at
+    once, or one that broke off and is repeated, record findings twice; they count once.
     """
     spark = versions.sparkSession
     book = Ledger(spark, ledger or scratch_path(spark, "ledger"))
@@ -136,7 +137,7 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: Sequence[Rule] =
     current = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(r.version))))
     spans = (
         book.findings().where(F.col("version") == current[F.col("rule")])
-        .groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("rule")].alias("kind"), "rule", "end"))).alias("spans"))
+        .groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", order[F.col("rule")].alias("kind"), "rule", "end"))).alias("spans"))
     )
     kept = [F.col(f"`{c}`") for c in versions.columns if c not in ("text", "blob", "spans")]
     paths = versions.select(*kept, blob_of(F.col("text")).alias("blob"))
@@ -162,16 +163,15 @@ def redact(documents: DataFrame, mark: str = "[secret]", ledger: str | None = No
     cuts = rows.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = cuts.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     columns = documents.columns
-    joined = documents.withColumn("_blob", blob_of(F.col("text"))).join(cuts.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    piece = lambda c, i: F.substring(  # noqa: E731  what lies before cut i, or behind the last
-        F.col("text"),
-        (F.when(i > 0, F.get(F.col("_cuts")["end"], (i - 1).cast("int"))).otherwise(F.lit(0)) + 1).cast("int"),
-        (F.coalesce(F.get(F.col("_cuts")["start"], i.cast("int")), F.length("text").cast("long")) - F.when(i > 0, F.get(F.col("_cuts")["end"], (i - 1).cast("int"))).otherwise(F.lit(0))).cast("int"),
-    )
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda i: piece(F.col("_cuts"), i))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark))
-    out = joined.withColumn("_new", text)
-    changed = {"text": F.col("_new")}
+    plain = documents.toDF(*(str(k) for k in range(len(columns))))  # so that no name clashes
+    old = F.col(f"`{columns.index('text')}`")
+    joined = plain.withColumn("blob", blob_of(old)).join(cuts, "blob", "left")
+    behind = lambda i: F.when(i > 0, F.get(F.col("_cuts")["end"], (i - 1).cast("int"))).otherwise(F.lit(0))
+    upto = lambda i: F.coalesce(F.get(F.col("_cuts")["start"], i.cast("int")), F.length(old).cast("long"))  # noqa: E731  cut i, or the end
+    pieces = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda i: F.substring(old, (behind(i) + 1).cast("int"), (upto(i) - behind(i)).cast("int")))
+    out = joined.withColumn("new", F.when(F.col("_cuts").isNull(), old).otherwise(F.array_join(pieces, mark)))
+    changed = {"text": F.col("new")}
     if "n_chars" in columns:
-        changed["n_chars"] = F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(documents.schema["n_chars"].dataType)
-    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in columns))
+        count = F.col(f"`{columns.index('n_chars')}`")
+        changed["n_chars"] = F.when(F.col("_cuts").isNull(), count).otherwise(F.length("new")).cast(documents.schema["n_chars"].dataType)
+    return out.select(*(changed.get(c, F.col(f"`{k}`")).alias(c) for k, c in enumerate(columns)))
