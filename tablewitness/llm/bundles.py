@@ -38,6 +38,8 @@ from tablewitness.session import scratch_path, stage
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Decompressed bytes that one task reads.
+TASK_BYTES = 16 << 20
 #: Equal rows in one record block, and the fewest rows of a digest that counts as hot.
 COPIES, HOT_ROWS = 1000, 64
 
@@ -264,7 +266,8 @@ def frames(index: DataFrame) -> DataFrame:
                 if found:
                     yield _batch(found, FRAMES)
 
-    return index.select("path").distinct().mapInArrow(run, FRAMES)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("path").distinct().repartition(tasks, "path").mapInArrow(run, FRAMES)  # a fixed number is not coalesced
 
 
 def _parsed(data: bytes, path: str, frame: int, payloads: bool) -> Iterator[tuple]:
@@ -294,7 +297,9 @@ def read(index: DataFrame, payloads: bool = False) -> DataFrame:
     Each frame is read and decompressed by itself, so a large file is as parallel as many small ones. A response is checked
     against its digest; a revisit's size is the one in its HTTP header. ``payload`` is null unless asked for, and for revisits.
     """
-    return _read_frames(frames(index).repartition("path", "frame"), payloads)
+    found = stage(frames(index), "frames")
+    tasks = -(-(found.agg(F.sum("plain")).first()[0] or 1) // TASK_BYTES)
+    return _read_frames(found.repartition(tasks, "path", "frame"), payloads)
 
 
 def _read_frames(wanted: DataFrame, payloads: bool) -> DataFrame:
