@@ -23,6 +23,11 @@ def _orders_text(spark, folder):
     return o.select("o_orderkey", price.alias("o_totalprice"), urgent.alias("o_orderpriority"))
 
 
+def _note(key):
+    """A text with a line end, a comma and quotes."""
+    return F.concat(F.lit("no.\n"), F.col(key).cast("string"), F.lit(', "x"')).alias("note")
+
+
 @query(
     "src1_csv_scan",
     """SELECT o_orderkey, CASE WHEN o_orderpriority <> '2-HIGH' THEN o_totalprice END AS o_totalprice, o_orderpriority
@@ -37,24 +42,24 @@ def src1(spark, folder):
 
 @query(
     "src2_csv_folder",
-    """SELECT 'o_orderstatus=' || o_orderstatus AS dataset, count(*) AS n, round(sum(o_totalprice), 2) AS total
+    """SELECT 'o_orderstatus=' || o_orderstatus AS dataset, count(*) AS n, round(sum(o_totalprice), 2) AS total, count(*) AS n_notes, max('no.' || chr(10) || o_orderkey::VARCHAR || ', "x"') AS last_note
        FROM orders GROUP BY 1""",
 )
 def src2(spark, folder):
     path = scratch_path(spark, "folder")
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    orders.write.partitionBy("o_orderstatus").option("header", True).csv(path)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", _note("o_orderkey"), "o_orderstatus")
+    orders.write.partitionBy("o_orderstatus").option("header", True).option("escape", '"').csv(path)
     (files,) = read_csv_folder(spark, path)
     name = F.regexp_extract("dataset_id", r"(o_orderstatus=[^/]+)/", 1).alias("dataset")
-    return files.groupBy(name).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("o_totalprice"), 2).alias("total"))
+    return files.groupBy(name).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("o_totalprice"), 2).alias("total"), F.count("note").alias("n_notes"), F.max("note").alias("last_note"))
 
 
-@query("src3_first_csv", "SELECT p_partkey, p_retailprice FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
+@query("src3_first_csv", """SELECT p_partkey, 'no.' || chr(10) || p_partkey::VARCHAR || ', "x"' AS note, p_retailprice FROM part WHERE p_type = (SELECT min(p_type) FROM part)""")
 def src3(spark, folder):
     path = scratch_path(spark, "bundle")
-    part = table(spark, folder, "part").select("p_partkey", "p_retailprice", "p_type")
+    part = table(spark, folder, "part").select("p_partkey", _note("p_partkey"), "p_retailprice", "p_type")
     # One file per type: the rows of a type meet in one task, which is how a bundle of single files is made.
-    part.repartition("p_type").write.partitionBy("p_type").option("header", True).csv(path)
+    part.repartition("p_type").write.partitionBy("p_type").option("header", True).option("escape", '"').csv(path)
     return read_first_csv(spark, path)
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewitness.sources.records import headers, lines, records, starts
+
 # Texts that mean "missing".
 NA_VALUES = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -20,11 +21,19 @@ NA_VALUES = (
 FILE_ORDER = ("__file", "__split", "__row")
 
 
-def _header(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
-    first = spark.read.option("header", True).option("inferSchema", False).csv(paths)
+def _names(spark: SparkSession, header: str) -> list[str]:
+    """Column names of a header record: unnamed ones by position, repeated ones marked."""
+    fields = spark.createDataFrame([(header,)], "line string")
+    width = header.count(",") + 1  # at least the number of fields
+    schema = ", ".join(f"_{i} string" for i in range(width))
+    quoted = fields.select(F.from_csv("line", schema, {"escape": '"', "mode": "PERMISSIVE"}).alias("f")).first()["f"]
+    # As many fields as have commas outside quotes before them.
+    cells = [quoted[i] for i in range(width)]
+    while len(cells) > 1 and cells[-1] is None and not header.rstrip().endswith(","):
+        cells.pop()
     names, seen = [], set()
-    for i, c in enumerate(first.columns):
-        name = c if not (c.startswith("_c") and c[2:].isdigit()) else f"Unnamed: {i}"
+    for i, c in enumerate(cells):
+        name = c if c else f"Unnamed: {i}"
         while name in seen:
             name += ".1"
         seen.add(name)
@@ -32,43 +41,37 @@ def _header(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     return names
 
 
-def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
-    """The first line with text of each file, by path, in one job that reads the head of the files."""
-    lines = (
-        spark.read.text(paths if isinstance(paths, str) else list(paths))
-        .select("value", "_metadata.file_path", "_metadata.file_block_start")
-        .where((F.col("file_block_start") == 0) & (F.trim("value") != ""))
-        .withColumn("at", F.monotonically_increasing_id())
-    )
-    found = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("line")).collect()  # one short row for each file
-    return {unquote(r["file_path"]): r["line"] for r in found}
-
-
 def read_raw_csv(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True) -> DataFrame:
     """All columns as text. Rows with too many fields are skipped, short rows filled with nulls.
 
-    With ``multiline`` a quoted field may hold line ends, and a file is read by one task; without it large
-    files are split, which is only right when no field holds one. Files with another header than the
+    Large files are split. With ``multiline`` a quoted field may hold line ends, and a pass over the text finds where records
+    begin (see ``records``); without it every line is a record. Files with another header than the
     first are an error, since columns go by position.
     """
-    paths = paths if isinstance(paths, str) else list(paths)
-    if len(set(first_lines(spark, paths).values())) > 1:
-        raise ValueError("the files have different headers; read_csv_folder reads each kind by itself")
-    names = _header(spark, paths)
+    return _parsed(spark, *_scanned(spark, paths), multiline)
+
+
+def _scanned(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Lines, where splits begin, and the header of each file: one reading of the text."""
+    rows = lines(spark, paths)
+    start = starts(rows)
+    return rows, start, headers(rows, start)
+
+
+def _parsed(spark: SparkSession, rows: DataFrame, start: DataFrame, found: dict[str, str], multiline: bool) -> DataFrame:
+    if len(set(found.values())) != 1:
+        raise ValueError("the files have different headers; read_csv_folder reads each kind by itself" if found else "no file has a line")
+    names = _names(spark, next(iter(found.values())))
     spare = f"_extra_{uuid.uuid4().hex[:8]}"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, spare]])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .csv(paths)
-    )
-    kept = raw.where(F.col(spare).isNull())
-    text = [F.when(~F.col(f"`{n}`").isin(*NA_VALUES), F.col(f"`{n}`")).alias(n) for n in names]
-    return kept.select(*text, "_metadata.file_path", F.col("_metadata.file_block_start").alias(FILE_ORDER[1]), F.monotonically_increasing_id().alias(FILE_ORDER[2]))
+    if not multiline:
+        start = start.withColumn("inside", F.lit(False))
+    cells = F.from_csv("record", schema.toDDL(), {"escape": '"', "mode": "PERMISSIVE"})
+    raw = records(rows, start, multiline).where("NOT header").select(F.col("path").alias("file_path"), F.col("split").alias(FILE_ORDER[1]), F.col("row").alias(FILE_ORDER[2]), cells.alias("_cells"))
+    kept = raw.where(F.col("_cells")[spare].isNull())
+    value = lambda n: F.col("_cells").getField(n)
+    text = [F.when(~value(n).isin(*NA_VALUES), value(n)).alias(n) for n in names]
+    return kept.select(*text, "file_path", *FILE_ORDER[1:])
 
 
 def narrowest_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
@@ -140,7 +143,8 @@ def read_csv_folder(spark: SparkSession, folder: str, multiline: bool = True) ->
     """
     groups: dict[str, list[str]] = {}
     files = csv_files(spark, folder)
-    for path, line in sorted(first_lines(spark, files).items()) if files else ():
+    found = _scanned(spark, files)[2] if files else {}
+    for path, line in sorted(found.items()):
         groups.setdefault(line, []).append(path)
     return [read_csv(spark, paths, dataset_id=True, multiline=multiline) for paths in groups.values()]
 

@@ -2,7 +2,7 @@ import pytest
 
 from tablewitness import corrupt, score_csv
 from tablewitness.session import scratch_path
-from tablewitness.sources.csv import read_csv, read_csv_folder, read_first_csv
+from tablewitness.sources.csv import NA_VALUES, read_csv, read_csv_folder, read_first_csv, read_raw_csv
 
 
 def write(tmp_path, name, text):
@@ -83,3 +83,67 @@ def test_unknown_method_changes_nothing(spark):
 
 def test_scratch_paths_are_new(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def _random_csv(seed, rows, end="\n"):
+    import random
+
+    rng = random.Random(seed)
+    cell = lambda: rng.choice([
+        "plain", "", "12", f'"quoted {rng.randrange(99)}"', f'"two{end}lines"', '"say ""hi"""', f'"a,b{end}{end}c,""x"",{end}end"', 'in"ner', '5" pipe', '"', '""', "x" * rng.randrange(40), '"closed"tail', f'"{end}"',
+    ][: rng.choice([8, 8, 9, 11])] if seed % 2 else ["plain", "7", f'"l1{end}l2"', '"q ""z"" q"', "", "é😀"])
+    return "alpha,beta,gamma" + end + "".join(f"{i},{cell()},{cell()}{end}" + (end if rng.random() < 0.05 else "") for i in range(rows))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ranges_give_the_rows_of_the_whole_file(spark, tmp_path, seed):
+    """Splits of 64 bytes up, also inside quotes, next to the reader that takes a file in one task."""
+    for k in range(2):
+        write(tmp_path, f"f{k}.csv", _random_csv(10 * k + seed, 40, "\r\n" if seed == 4 else "\n"))
+    folder = str(tmp_path)
+    schema = "alpha string, beta string, gamma string, more string"
+    whole = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+    want = sorted((tuple(r)[:3] for r in whole.collect() if r["more"] is None), key=str)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("64", "97", "1000", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            raw = records_csv(spark, folder)
+            if size == "64":
+                assert raw[1] >= 8
+            assert raw[0] == sorted((tuple(None if v in NA_VALUES else v for v in r) for r in want), key=str)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def records_csv(spark, folder):
+    df = read_raw_csv(spark, folder)
+    return sorted((tuple(r) for r in df.select("alpha", "beta", "gamma").collect()), key=str), df.select("__split").distinct().count()
+
+
+def test_order_and_headers_over_lines(spark, tmp_path):
+    """A quoted header over two lines, and the order of the file across ranges."""
+    body = "".join(f'{i},"a\nb{i}"\n' for i in range(200))
+    path = write(tmp_path, "o.csv", '\n"first\nname",second\n' + body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "80")
+    try:
+        df = read_csv(spark, path, ordered=True)
+        rows = df.orderBy("__file", "__split", "__row").collect()
+        assert df.columns[:2] == ["first\nname", "second"]
+        assert [r[0] for r in rows] == list(range(200)) and rows[7][1] == "a\nb7"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_line_states():
+    from tablewitness.sources.records import ends_inside
+
+    for line, outside, inside in (
+        ("a,b", False, True), ('"a', True, False), ('a,"b', True, False), ('5" x,y', False, False), ('"a""b",c', False, True), ('""', False, True), ('x""', False, True), ('","', False, True),
+        ('"a"b"c,"d', True, False), ("", False, True), ('",', True, False), ('"""', True, True), ('a""",z', False, False),
+    ):
+        assert ends_inside(line, False) == outside, line
+    assert ends_inside('b",c', True) is False and ends_inside('b"",c', True) is True and ends_inside('b"","c', True) is False
+    assert ends_inside('b","c', True) is True
