@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewitness.checks.registry import EVENTS, ORDERS, dataset, query, r6, rounded, sql_long, table
 from tablewitness.operators import temporal as t
 from tablewitness.operators.domain import detect_domain, mean_autocorrelation, monotone_times, time_axis
-from tablewitness.operators.histogram import sorted_histogram, value_histogram
+from tablewitness.operators.histogram import column_histogram
 from tablewitness.operators.ordering import series
 from tablewitness.operators.stationarity import adf_test, kpss_test
 
@@ -149,7 +149,7 @@ def win6(spark, folder):
         SELECT dataset_id, "column", round(quantile_cont(abs(value - med), 0.5) / (max(iqr) + 1e-10), 6) AS noise_level FROM l JOIN q USING (dataset_id, "column") GROUP BY 1, 2""",
 )
 def win7(spark, folder):
-    hist = sorted_histogram(value_histogram(dataset(spark, folder, "events", "event_type"), COLS, BY), BY)
+    hist = column_histogram(dataset(spark, folder, "events", "event_type"), COLS, BY)
     return rounded(t.noise_level(hist, BY, False), ["noise_level"])
 
 

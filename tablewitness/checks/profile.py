@@ -11,7 +11,7 @@ from tablewitness.functions.scalars import finite_or
 from tablewitness.operators.benford import benford_error, digit_counts, first_digit_table
 from tablewitness.operators.columns import long_numbers
 from tablewitness.operators.duplicates import duplicate_share, near_duplicate_share
-from tablewitness.operators.histogram import column_shapes, sorted_histogram, text_histogram, text_shapes, value_histogram
+from tablewitness.operators.histogram import column_histogram, column_shapes, text_histogram, text_shapes, value_histogram
 from tablewitness.operators.isolation import grow_forest, outlier_fraction, score_one
 from tablewitness.operators.metrics import class_weights, classification_report, roc_auc
 from tablewitness.operators.moments import (
@@ -28,7 +28,7 @@ DUP = ["l_quantity", "l_discount", "l_tax", "l_linestatus"]
 
 def shapes(spark, folder, name, columns, dataset_id=None):
     df = dataset(spark, folder, name, dataset_id)
-    return column_shapes(sorted_histogram(value_histogram(df, columns, BY), BY), BY)
+    return column_shapes(column_histogram(df, columns, BY), BY)
 
 
 @query(

@@ -7,10 +7,14 @@ cumulative count ``cum`` with the two-level sums of ``ordering``: no window sees
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewitness.functions.scalars import EPS, entropy_term
 from tablewitness.operators.columns import attach, long_numbers, long_texts
@@ -27,30 +31,115 @@ def text_histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
     return long_texts(df, by, columns).groupBy(*by, "column", "text").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+#: Rows of a column that one bucket of a sorted histogram stands for, and most buckets of one column.
+BUCKET_ROWS = 1 << 17
+MOST_BUCKETS = 4096
+SKETCH_ROWS = 256
+
+
+def bucket_bounds(df: DataFrame, columns: Sequence[str], by: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> dict[tuple, list[list[float]]]:
+    """Approximate quantiles of the columns of each group with more than ``bucket_rows`` rows, from mergeable sketches
+    of about ``SKETCH_ROWS`` rows a bucket.
+
+    They only cut the work, results do not depend on them. Groups in this list hold eight bytes for each ``bucket_rows`` cells,
+    all others need none; without a large group there is no pass over the table.
+    """
+    rows = df.count()
+    if rows <= bucket_rows:
+        return {}
+    most = min(MOST_BUCKETS, -(-rows // bucket_rows))
+    cuts = F.array(*(F.lit(k / most) for k in range(1, most)))
+    sketch = [F.percentile_approx(F.col(c).cast("double"), cuts, F.lit(max(100, 4 * most))).alias(f"_q{i}") for i, c in enumerate(columns)]
+    share = min(1.0, SKETCH_ROWS / bucket_rows)
+    large = df.where(F.rand(7) < share).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *sketch).where(F.col("_n") > share * bucket_rows)
+    out = {}
+    for r in large.collect():
+        keep = min(most, int(r["_n"] / share / bucket_rows) + 1)
+        marks = [k for k in range(1, most) if k * keep // most != (k - 1) * keep // most]
+        out[tuple(r[b] for b in by)] = [sorted({r[f"_q{i}"][k - 1] for k in marks} if r[f"_q{i}"] else set()) for i in range(len(columns))]
+    return out
+
+
+def _count_cells(columns: Sequence[str], by: Sequence[str], bounds: dict[tuple, list[list[float]]]):
+    """Counts of equal cells of a batch: the combination before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(b) for b in by]
+            codes = np.zeros(batch.num_rows, np.int64)
+            for k in keys:
+                coded = k.dictionary_encode()
+                codes = codes * (len(coded.dictionary) + 1) + pc.fill_null(coded.indices, -1).to_numpy() + 1
+            _, first, code = np.unique(codes, return_index=True, return_inverse=True)
+            parts = []
+            for i, c in enumerate(columns):
+                values = batch.column(c).to_numpy(zero_copy_only=False)  # null is NaN
+                there = np.flatnonzero(~np.isnan(values))
+                order = there[np.lexsort((values[there], code[there]))]
+                v, g = values[order], code[order]
+                new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (g[1:] != g[:-1])]) if len(v) else order
+                cnt = np.diff(np.r_[new, len(v)])
+                v, g = v[new], g[new]
+                bucket = np.zeros(len(v), np.int32)
+                for k in np.unique(g) if bounds else ():
+                    cuts = bounds.get(tuple(x[int(first[k])].as_py() for x in keys))
+                    if cuts and cuts[i]:
+                        mine = g == k
+                        bucket[mine] = np.searchsorted(cuts[i], v[mine])
+                parts.append((first[g], np.full(len(v), i), bucket, v, cnt))
+            row, which, bucket, v, cnt = (np.concatenate(x) for x in zip(*parts))
+            names = pa.DictionaryArray.from_arrays(pa.array(which.astype(np.int32)), pa.array(list(columns))).cast(pa.string())
+            cells = [*(k.take(pa.array(row)) for k in keys), names, pa.array(bucket, pa.int32()), pa.array(v + 0.0), pa.array(cnt, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cells, names=[*by, "column", "_bucket", "value", "cnt"])
+
+    return run
+
+
+def column_histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The sorted histogram of ``columns``, as ``sorted_histogram`` gives it, with one shuffle of cells.
+
+    Cells are counted in each batch and dealt by (group, column, bucket), where a bucket is a range of values. Counting, sorting and
+    the running sums inside a bucket need no other shuffle; the totals of the buckets, a row each, give the rest.
+    """
+    wide = df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns))
+    # Nothing is null but the group, so that both uses of the cells below have one plan and share its shuffle.
+    own = T.StructType.fromDDL("column string not null, _bucket int not null, value double not null, cnt bigint not null")
+    schema = T.StructType([*(df.schema[b] for b in by), *own.fields])
+    cells = wide.mapInArrow(_count_cells(columns, by, bucket_bounds(wide, columns, by, bucket_rows)), schema)
+    group = [*by, "column"]
+    dealt = cells.repartition(*group, "_bucket")
+    return _with_totals(dealt.groupBy(*group, "_bucket", "value").agg(F.sum("cnt").alias("cnt")), dealt, by, "_bucket")
+
+
 def sorted_histogram(hist: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Add ``cum`` (count up to and with the value), ``prev`` (next smaller value) and the totals
     ``n``, ``lo``, ``hi`` of the column."""
+    placed = range_sorted(hist, [*by, "column", "value"], "histogram").drop("_lid")
+    return _with_totals(placed, placed, by, "_pid", keep)
+
+
+def _with_totals(placed: DataFrame, cells: DataFrame, by: Sequence[str], part: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Running sums of counts in parts of ascending values, then over the parts, whose totals are those of ``cells``."""
     group = [*by, "column"]
-    placed = range_sorted(hist, [*group, "value"], "histogram").drop("_lid")
-    inside = Window.partitionBy(*group, "_pid").orderBy("value")
+    inside = Window.partitionBy(*group, part).orderBy("value")
     local = placed.withColumn("_cum", F.sum("cnt").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     local = local.withColumn("_prev", F.lag("value").over(inside))
 
-    spans = placed.groupBy(*group, "_pid").agg(
+    spans = cells.groupBy(*group, part).agg(
         F.sum("cnt").alias("_total"), F.min("value").alias("_lo"), F.max("value").alias("_hi")
     )
     whole = Window.partitionBy(*group)
-    parts = whole.orderBy("_pid")
+    parts = whole.orderBy(part)
     spans = spans.select(
         *group,
-        "_pid",
+        part,
         F.coalesce(F.sum("_total").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.lag("_hi").over(parts).alias("_last"),
         F.sum("_total").over(whole).alias("n"),
         F.min("_lo").over(whole).alias("lo"),
         F.max("_hi").over(whole).alias("hi"),
     )
-    joined = local.join(spans, [*group, "_pid"])
+    joined = local.join(spans, [*group, part])
     return joined.select(
         *group,
         "value",

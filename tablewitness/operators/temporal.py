@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewitness.functions.scalars import EPS, clip, entropy_term, finite_or, not_nan, pearson, slope, total
 from tablewitness.operators.columns import attach, column_position, nan_to_null, numeric_columns, with_dataset
-from tablewitness.operators.histogram import exact_quantiles, sorted_histogram, value_histogram
+from tablewitness.operators.histogram import column_histogram, exact_quantiles, sorted_histogram
 from tablewitness.operators.ordering import (
     BLOCK_ROWS, ahead, own_rows, series, shared_blocks, with_spread,
 )
@@ -363,7 +363,7 @@ def temporal_block(
         )
         return temporal_row(empty, flags, by, bool(columns))
     if hist is None:
-        hist = sorted_histogram(value_histogram(df, used, by), by)
+        hist = column_histogram(df, used, by)
     mine = lambda x: x.where(F.col("column").isin(used)).join(timed, list(by), "left_semi")
     measured = temporal_columns(mine(blocks), mine(steps), by, single, mine(hist), block_rows)
     return stage(temporal_row(temporal_means(measured, by, used, None), flags, by, True), "temporal")

@@ -49,3 +49,25 @@ def test_shared_blocks_need_no_further_shuffle(spark):
     # The one shuffle and sort is inside the cached relation, below this plan.
     above = plan.split("Initial Plan")[0].split("InMemoryRelation")[0]
     assert "Window" in above and "Exchange" not in above and "Sort [" not in above
+
+
+def test_column_histogram_has_one_shuffle_of_cells(spark):
+    """Same rows as by range sorting, for one bucket and for many; cells travel once and nothing is written."""
+    import random
+
+    from tablewitness.operators.histogram import column_histogram, sorted_histogram, value_histogram
+
+    rng = random.Random(1)
+    cell = lambda: rng.choice([rng.gauss(0, 1), 7.0, -0.0, 0.0, None, float("nan"), float(rng.randrange(50))])
+    rows = [(rng.choice("aaab"), cell(), rng.choice([1, 2, 3, None])) for _ in range(20_000)] + [("only", None, 1)]
+    df = spark.createDataFrame(rows, "dataset_id string, x double, y int")
+    columns = ["dataset_id", "column", "value", "cnt", "cum", "prev", "n", "lo", "hi"]
+    want = sorted(map(str, sorted_histogram(value_histogram(df, ["x", "y"], ["dataset_id"]), ["dataset_id"]).select(columns).collect()))
+    for bucket_rows in (1 << 17, 700):
+        found = column_histogram(df, ["x", "y"], ["dataset_id"], bucket_rows)
+        assert sorted(map(str, found.select(columns).collect())) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == plan.count("RepartitionByExpression") == 2  # one shuffle, read twice
+        found.collect()
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    assert column_histogram(df.limit(0), ["x", "y"], ["dataset_id"]).count() == 0
