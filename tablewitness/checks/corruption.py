@@ -166,7 +166,7 @@ def cor10(spark, folder):
 
 @query(
     "cor11_augment",
-    f"WITH {_T}, p AS (SELECT * FROM t WHERE {_unit('keep', 73)} < 0.75e0) "
+    f"""WITH {_T}, p AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '73', 'keep', {ROW})), row_idx) AS place FROM t) WHERE place <= round_even({_N} * 0.75e0, 0)) """
     + _select({k: f"{k} + {_normal('jitter.' + k, 73)} * ((SELECT stddev_samp({k}) FROM p) * 0.01e0 + 1e-8)" for k in ORDERS}, "p"),
 )
 def cor11(spark, folder):

@@ -8,6 +8,7 @@ from tablewitness.checks.registry import (
     EVENTS, LINEITEM, ORDERS, PART, dataset, query, r6, rounded, sql_long, table,
 )
 from tablewitness.functions.scalars import finite_or
+from tablewitness.operators import sketches
 from tablewitness.operators.benford import benford_error, digit_counts, first_digit_table
 from tablewitness.operators.columns import long_numbers
 from tablewitness.operators.duplicates import duplicate_share, near_duplicate_share
@@ -21,6 +22,7 @@ from tablewitness.operators.normality import shapiro_columns
 from tablewitness.operators.permutation import correlation_consistency
 from tablewitness.plans.profile import string_variance
 from tablewitness.plans.report import benford_column
+from tablewitness.session import scratch_path
 
 BY = ["dataset_id"]
 DUP = ["l_quantity", "l_discount", "l_tax", "l_linestatus"]
@@ -121,6 +123,34 @@ def agg06(spark, folder):
     return mean.join(F.broadcast(rows), BY).select(*BY, r6(F.col("d") / F.col("rows")).alias("mean_cardinality"))
 
 
+_STATE_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+@query(
+    "agg06_stored_states",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS n, count(DISTINCT {c}) AS n_distinct, {f"min({c})::DOUBLE" if c in ORDERS else "NULL"} AS lo, {f"max({c})::DOUBLE" if c in ORDERS else "NULL"} AS hi, true AS near_distinct, true AS near_ranks FROM orders"""
+        for c in _STATE_COLS
+    ),
+)
+def agg06_states(spark, folder):
+    """Orders appended in three parts; the merged states against the exact counts and ranks, within the stated errors."""
+    df, path = dataset(spark, folder, "orders"), scratch_path(spark, "states")
+    for part in range(3):
+        sketches.append_states(df.where(F.pmod("o_custkey", F.lit(3)) == part), _STATE_COLS, BY, path)
+    found = sketches.estimates(sketches.stored_states(spark, BY, path), BY)
+    exact = text_histogram(df, _STATE_COLS, BY).groupBy("column").agg(F.count(F.lit(1)).alias("exact"))
+    hist = column_histogram(df, ORDERS, BY).select("column", "value", "cnt", "cum", F.col("n").alias("_n"))
+    marks = found.select("column", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(c).alias("at")) for q, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))))).alias("m"))
+    met = hist.join(F.broadcast(marks.where("m.at IS NOT NULL")), "column").where(F.col("value") <= F.col("m.at"))
+    far = met.groupBy("column", "m.q").agg((F.max("cum") / F.max("_n")).alias("rank"), F.max_by("cnt", "value").alias("last"), F.max("_n").alias("_n"))
+    far = far.groupBy("column").agg(F.max(F.abs(F.col("rank") - F.col("q")) - F.col("last") / F.col("_n")).alias("far"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact") + 1
+    return found.join(exact, "column").join(far, "column", "left").select(
+        "column", "rows", "n", F.col("exact").alias("n_distinct"), "lo", "hi", near.alias("near_distinct"), F.coalesce(F.col("far") <= sketches.RANK_ERROR, F.lit(True)).alias("near_ranks"),
+    )
+
+
 @query(
     "agg07_rounded_numbers",
     f"""SELECT l_returnflag AS dataset_id, round(sum(w)::DOUBLE / sum(n) * CASE WHEN avg(narrow::INT) > 0.5e0 THEN 0.5e0 ELSE 1e0 END, 6) AS rounded_num_ratio,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewitness.functions.scalars import normal_hash, shuffle_key, unit_hash
@@ -21,7 +21,7 @@ from tablewitness.operators.columns import (
     numeric_columns,
     with_dataset,
 )
-from tablewitness.operators.ordering import hash_rank, ordered_index
+from tablewitness.operators.ordering import ordered_index
 from tablewitness.operators.permutation import permuted_columns
 from tablewitness.session import stage
 
@@ -182,11 +182,42 @@ def blank_cells(t: DataFrame, share: float, seed: int, columns: Sequence[str], t
     return _replace(t, t, {c: keep(c) for c in columns})
 
 
+#: Rows of a dataset among which the last chosen one is looked for by sorting.
+LAST_ROWS = 1 << 16
+
+
+def chosen_exactly(t: DataFrame, want: DataFrame, seed: int, tag: str) -> DataFrame:
+    """Add ``_chosen``: true for exactly ``_want`` rows of each dataset of ``want``, the first by a hash of the row.
+
+    The hash of the last chosen row is found by selection: rows are counted by leading digits, the group of digits that holds the
+    wanted rank is counted by the next ones, until few rows share them. The rows of the table stay where they are.
+    """
+    keys = t.select(*ROW, shuffle_key(seed, tag, ROW).alias("_h"))
+    state, digits = want.where("_want > 0").select(*BY, "_want", F.lit("").alias("_lead")), 0
+    while True:
+        near = beside(keys, state).where(F.startswith("_h", F.col("_lead")))
+        counts = near.groupBy(*BY, "_want", F.substring("_h", 1, digits + 4).alias("_lead")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*BY).orderBy("_lead"))
+        found = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+        state = stage(found.select(*BY, (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_want"), "_lead", "_n"), "digits")
+        digits += 4
+        if digits >= 32 or (state.agg(F.max("_n")).first()[0] or 0) <= LAST_ROWS:
+            break
+    near = beside(keys, state).where(F.startswith("_h", F.col("_lead")))
+    last = near.withColumn("_place", F.row_number().over(Window.partitionBy(*BY).orderBy("_h", "row_idx"))).where("_place = _want")
+    # Datasets that want more rows than they have keep all, those that want none have no last row.
+    last = last.select(*BY, F.col("_h").alias("_last"), F.col("row_idx").alias("_last_idx"))
+    last = want.join(last, BY, "left").select(*BY, "_want", "_last", "_last_idx")
+    upto = (F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & (F.col("row_idx") <= F.col("_last_idx")))
+    out = beside(t.withColumn("_h", shuffle_key(seed, tag, ROW)), last)
+    chosen = F.coalesce(upto, F.col("_want") > 0)
+    return out.withColumn("_chosen", chosen).drop("_h", "_want", "_last", "_last_idx")
+
+
 def duplicated(t: DataFrame, seed: int = 42) -> DataFrame:
     """Drop 40 % of the rows exactly, append as many drawn with replacement, blank 15 % of the numbers."""
-    ranked = hash_rank(t.withColumn("_h", shuffle_key(seed, "drop", ROW)), BY, "_h", ["row_idx"], "_pos")
-    rows = t.groupBy(*BY).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = beside(ranked, rows).where(F.col("_pos") >= F.round(F.col("_rows") * 0.4)).select(*t.columns)
+    drop = t.groupBy(*BY).agg(F.round(F.count(F.lit(1)) * 0.4).cast("long").alias("_want"))
+    kept = chosen_exactly(t, drop, seed, "drop").where("NOT _chosen").select(*t.columns)
     more = resample(t, F.round(F.col("_rows") * 0.4), seed, "repeat")
     return blank_cells(kept.unionByName(more), 0.15, seed, numbers_of(t), "gap")
 
@@ -266,8 +297,9 @@ def corrupt(
 
 
 def jitter(t: DataFrame, seed: int, share: float = 0.75) -> DataFrame:
-    """A random 75 % of the rows, numbers moved by about 1 % of their spread. Row order is kept."""
-    part = t.where(unit_hash(seed, "keep", ROW) < share)
+    """Exactly 75 % of the rows, rounded, numbers moved by about 1 % of their spread. Row order is kept."""
+    keep = t.groupBy(*BY).agg(F.bround(F.count(F.lit(1)) * F.lit(share)).cast("long").alias("_want"))
+    part = stage(chosen_exactly(t, keep, seed, "keep").where("_chosen").select(*t.columns), "part")
     cols = numbers_of(t)
     s = _with_stats(part, cols)
     move = lambda c: F.col(c) + normal_hash(seed, f"jitter.{c}", ROW) * (
@@ -350,10 +382,10 @@ def blank_column(t: DataFrame, level: float, seed: int) -> DataFrame:
 
 def back_to_size(t: DataFrame, sizes: DataFrame, seed: int, always: bool = False) -> DataFrame:
     """By a coin, a grown dataset is sampled back to ``sizes`` (``dataset_id, _target``) rows exactly."""
-    hashed = t.withColumn("_h", shuffle_key(seed, "shrink", ROW))
-    ranked = beside(hash_rank(hashed, BY, "_h", ["row_idx"], "_pos"), sizes)
+    t = stage(t, "grown")  # read by each count below
+    chosen = chosen_exactly(t, sizes.select(*BY, F.col("_target").alias("_want")), seed, "shrink")
     coin = F.lit(True) if always else _coin(seed, "shrink") < 0.5
-    return ranked.where(~coin | (F.col("_pos") < F.col("_target"))).select(*t.columns)
+    return chosen.where(~coin | F.col("_chosen")).select(*t.columns)
 
 
 def perturb(
