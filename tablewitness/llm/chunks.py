@@ -89,9 +89,9 @@ def repeated(documents: DataFrame, least: int = 80, **sizes: int) -> DataFrame:
     """
     parts = stage(chunks(documents, **sizes), "chunks")  # cut once, read twice
     where = ["doc_id", "text_key", "start"]
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), *where)
-    firsts = parts.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("high", "low", "first")
+    place = F.struct(*where)  # a null id sorts first
+    # Copies of one place count too; the comparison with the first place drops them.
+    firsts = parts.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = parts.join(firsts, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
     later = later.select(*where, "length", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).dropDuplicates(where)
     order = Window.partitionBy("doc_id", "text_key").orderBy("start")
