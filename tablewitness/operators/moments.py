@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewitness.functions.scalars import corrected_kurtosis, corrected_skewness, finite_or, not_nan, pearson, total
+from tablewitness.functions.scalars import corrected_kurtosis, corrected_skewness, finite_or, not_nan, total
 from tablewitness.operators.columns import attach, long_numbers
 
 def missing_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -53,79 +52,98 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
     )
 
 
-def _batch_products(columns: Sequence[str]):
-    """Per Arrow batch, sums of the shifted values and of all their products over present cells."""
-    names = [f"_x{i}" for i in range(len(columns))]
+#: A task adds up the products of so many pairs of columns before it hands them on.
+HELD_PAIRS = 1 << 20
+
+
+def _pair_sums(depth: int, width: int):
+    """Sums over present pairs, by dataset and pair of columns, of all the rows that a task reads.
+
+    Each dataset of a batch is four matrix products. They are held until ``HELD_PAIRS`` pairs of columns are
+    reached, so a task's memory is bounded for any number of datasets.
+    """
+    names = [f"_x{i}" for i in range(width)]
+    keys = [f"_g{i}" for i in range(depth)]
+    left, right = np.triu_indices(width, 1)
+    limit = max(1, HELD_PAIRS // max(1, len(left)))
+
+    def products(x: np.ndarray) -> np.ndarray:
+        there = (~np.isnan(x)).astype(float)
+        x = np.where(there > 0, x, 0.0)
+        square = x * x
+        full = (there.T @ there, x.T @ there, there.T @ x, square.T @ there, there.T @ square, x.T @ x)
+        return np.stack([m[left, right] for m in full])
+
+    def rows(held: dict):
+        for key, sums in held.items():
+            for at in range(0, len(left), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                lead = {k: [v] * len(left[part]) for k, v in zip(keys, key)}
+                measures = dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), sums[:, part]))
+                yield pd.DataFrame({**lead, "_i": left[part], "_j": right[part], **measures})
 
     def run(batches):
+        held: dict = {}
         for pdf in batches:
             x = pdf[names].to_numpy(dtype=float)
-            there = ~np.isnan(x)
-            x = np.where(there, x, 0.0)
-            m = there.astype(float)
-            blocks = (m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)
-            yield pd.DataFrame({"sums": [np.concatenate([b.ravel() for b in blocks]).tolist()]})
+            groups = pdf.groupby(keys, dropna=False, sort=False).indices if keys else {(): np.arange(len(x))}
+            for key, places in groups.items():
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                sums = products(x[places])
+                held[key] = held[key] + sums if key in held else sums
+                if len(held) > limit:
+                    yield from rows(held)
+                    held = {}
+        yield from rows(held)
 
     return run
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _correlation_cells(sums: pd.Series, width: pd.Series) -> pd.Series:
-    """Upper triangle of the correlation matrix from the sums of ``_batch_products``."""
-    out = []
-    for s, d in zip(sums, width):
-        n, sx, sxx, sxy = np.asarray(s).reshape(4, int(d), int(d))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cov = sxy - sx * sx.T / n
-            spread = np.maximum(sxx - sx * sx / n, 0.0)
-            r = cov / np.sqrt(spread * spread.T)
-        out.append(r[np.triu_indices(int(d), 1)].tolist())
-    return pd.Series(out)
-
-
-def table_correlations(df: DataFrame, columns: Sequence[str], means: Sequence[float] | None = None) -> DataFrame:
-    """``(a, b, r)`` for one table: matrix products per batch, small sums added up by Spark.
-
-    Values are shifted by the column means first, so the sums do not cancel.
-    """
-    d = len(columns)
-    if means is None:
-        means = df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()
-    shifted = df.select(
-        *[(F.col(c).cast("double") - F.lit(float(mu or 0.0))).alias(f"_x{i}") for i, (c, mu) in enumerate(zip(columns, means))]
-    )
-    parts = shifted.mapInPandas(_batch_products(columns), "sums array<double>")
-    added = parts.select(F.posexplode("sums").alias("_i", "_s")).groupBy("_i").agg(F.sum("_s").alias("_s"))
-    packed = added.agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_c"))
-    cells = packed.select(F.transform("_c", lambda c: c["_s"]).alias("_s"), F.lit(d).alias("_d")).where(F.size("_s") > 0)
-    cells = cells.select(F.posexplode(_correlation_cells("_s", "_d")).alias("_k", "r"))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations(columns, 2)])
-    return cells.select(pairs[F.col("_k")].alias("_p"), "r").select("_p.a", "_p.b", finite_or(F.col("r"), 0.0).alias("r"))
+def centers(columns: Sequence[str]) -> list[Column]:
+    """Aggregates to shift by: the mean, or the value itself of a constant column, which leaves exact zeros."""
+    cells = [F.col(c).cast("double") for c in columns]
+    return [F.when(F.min(x) == F.max(x), F.min(x)).otherwise(F.avg(x)) for x in cells]
 
 
 def correlations(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str], single: bool = False, means: Sequence[float] | None = None
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], single: bool = False, shifts: Sequence[float] | None = None
 ) -> DataFrame:
     """``(by, a, b, r)`` for each pair of columns, over the rows where both are present.
 
-    Many datasets take one row per pair through a single small aggregate, combined map-side; an
-    aggregate per pair would be too large to compile well.
+    Gram sums: a task multiplies its rows as matrices, a dataset at a time, and Spark adds up one small row for each
+    task, dataset and pair, so no row of the table is repeated for its pairs and the driver holds no matrix. Values are
+    shifted by the means of their dataset first (``shifts``, when the caller has the ``centers`` of a single table), so
+    the sums do not cancel. A pair with a constant or empty side has r = 0.
     """
+    width = range(len(columns))
+    numbers = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
+    keys = [] if single else list(by)
+    groups = [f"_g{i}" for i in range(len(keys))]
+    kinds = [df.schema[k].dataType for k in keys]
     if single:
-        return table_correlations(df, columns, means).withColumns({k: F.lit("table") for k in by}).select(*by, "a", "b", "r")
-    values = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
-    left = values.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
-    rest = F.slice("_v", F.col("_i") + 2, F.lit(len(columns)))
-    both = left.select(*by, "_i", "_x", F.posexplode(rest).alias("_j", "_y"))
+        shifts = df.agg(*centers(columns)).first() if shifts is None else shifts
+        shifted = df.select(*[(x - F.lit(float(mu or 0.0))).alias(f"_x{i}") for i, (x, mu) in enumerate(zip(numbers, shifts))])
+    else:
+        # Integer keys travel as text: with a null among them, pandas would make them doubles.
+        texts = [isinstance(kind, T.IntegralType) for kind in kinds]
+        wide = df.select(*[(F.col(k).cast("string") if t else F.col(k)).alias(g) for g, k, t in zip(groups, keys, texts)], *numbers)
+        own = wide.groupBy(*groups).agg(*[mu.alias(f"_m{i}") for i, mu in enumerate(centers([f"_x{i}" for i in width]))])
+        own = own.select(*[F.col(g).alias(f"_o{g}") for g in groups], *[f"_m{i}" for i in width])
+        joined = wide.join(own, [F.col(g).eqNullSafe(F.col(f"_o{g}")) for g in groups])
+        shifted = joined.select(*groups, *[(F.col(f"_x{i}") - F.col(f"_m{i}")).alias(f"_x{i}") for i in width])
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    heads = [T.StructField(g, shifted.schema[g].dataType) for g in groups]
+    places = [T.StructField(c, T.IntegerType()) for c in ("_i", "_j")]
+    parts = shifted.mapInPandas(_pair_sums(len(keys), len(columns)), T.StructType([*heads, *places, *[T.StructField(c, T.DoubleType()) for c in sums]]))
+    added = parts.groupBy(*groups, "_i", "_j").agg(*[F.sum(c).alias(c) for c in sums])
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in sums)
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    # What remains of equal values away from the mean is rounding.
+    varied = (n > 0) & (vx > sxx * 1e-12) & (vy > syy * 1e-12)
+    r = F.when(varied, (sxy - sx * sy / n) / (F.sqrt(vx) * F.sqrt(vy)))
     names = F.array(*[F.lit(c) for c in columns])
-    return (
-        both.groupBy(*by, "_i", "_j")
-        .agg(pearson(F.col("_x"), F.col("_y")).alias("r"))
-        .select(
-            *by, names[F.col("_i")].alias("a"), names[F.col("_i") + F.col("_j") + 1].alias("b"),
-            finite_or(F.col("r"), 0.0).alias("r"),
-        )
-    )
+    ids = [F.lit("table").alias(k) for k in by] if single else [F.col(g).cast(kind).alias(k) for g, k, kind in zip(groups, keys, kinds)]
+    return added.select(*ids, names[F.col("_i")].alias("a"), names[F.col("_j")].alias("b"), finite_or(r, 0.0).alias("r"))
 
 
 def fill_means(df: DataFrame, columns: Sequence[str], by: Sequence[str], single: bool) -> DataFrame:

@@ -28,12 +28,12 @@ from pyspark.sql import types as T
 from tablewitness.functions.scalars import clip, finite_or, total
 from tablewitness.operators.isolation import grow_forest, score_one
 from tablewitness.operators.metrics import class_weights, classification_report, roc_auc
-from tablewitness.operators.ordering import hash_rank
+from tablewitness.operators.ordering import hash_rank, ordered_index
 from tablewitness.session import stage
 
 FOLDS = 5
 MODELS = ("p_boost", "p_forest", "p_isolation")
-NOT_FEATURES = ("context_flags", "dataset_type", "dataset_id", "total_rows", "label", "row_idx")
+NOT_FEATURES = ("context_flags", "dataset_type", "dataset_id", "base", "total_rows", "label", "row_idx")
 
 
 @dataclass
@@ -70,6 +70,23 @@ def assign_folds(df: DataFrame, label: str, key_cols: Sequence[str], folds: int
     return placed.withColumn("fold", (F.col("_place") % folds).cast("int")).drop("_place")
 
 
+def assign_group_folds(df: DataFrame, label: str, group: str, folds: int = FOLDS, seed: int = 42) -> DataFrame:
+    """``fold`` per row, the same for all rows of a ``group``, so that siblings never stand on both sides.
+
+    Groups are dealt in turn, ordered by their rows of class 1, their rows and a hash: folds differ by one group in
+    groups, by one group's rows of class 1 in these and, among groups with equally many of them, by one
+    group's rows. A null group is one group; a null label counts as class 0.
+    """
+    from tablewitness.functions.scalars import shuffle_key
+
+    of = F.col(group)
+    sizes = df.groupBy(of.alias("_group")).agg(F.sum(F.coalesce((F.col(label) == 1).cast("long"), F.lit(0))).alias("_one"), F.count(F.lit(1)).alias("_all_rows"))
+    sizes = sizes.withColumn("_hash", shuffle_key(seed, "fold", ["_group"]))
+    dealt = ordered_index(sizes, ["_one", "_all_rows", "_hash", "_group"], name="_place")
+    dealt = dealt.select("_group", (F.col("_place") % folds).cast("int").alias("fold"))
+    return df.join(dealt, of.eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def probability_of(model, df: DataFrame, name: str) -> DataFrame:
     """Add the model's probability of class 1 as ``name``."""
     scored = model.transform(df).withColumn(name, vector_to_array("probability")[1])
@@ -245,11 +262,18 @@ def fit_meta(oof: DataFrame, s: Settings) -> list[dict]:
 
 
 def train(features: DataFrame, settings: Settings | None = None) -> tuple[StackedModel, DataFrame]:
-    """Fit on rows ``(dataset_id, features, label)``; returns the model and its out-of-fold report."""
+    """Fit on rows ``(dataset_id, features, label)``; returns the model and its out-of-fold report.
+
+    With a column ``base``, as ``labelled_features`` gives it, the variants of one dataset share a fold: their
+    out-of-fold scores come from models that saw none of them.
+    """
     s = settings or Settings()
     names = model_columns(features)
-    rows = align_features(features, names, ["dataset_id", "label"])
-    rows = stage(assign_folds(rows, "label", ["dataset_id"], FOLDS, s.seed), "train")
+    if "base" in features.columns:
+        rows = assign_group_folds(align_features(features, names, ["dataset_id", "label", "base"]), "label", "base", FOLDS, s.seed).drop("base")
+    else:
+        rows = assign_folds(align_features(features, names, ["dataset_id", "label"]), "label", ["dataset_id"], FOLDS, s.seed)
+    rows = stage(rows, "train")
     rows = _vectors(rows, names)
     oof = out_of_fold(rows, names, s)
     full = weigh(rows)

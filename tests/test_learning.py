@@ -122,3 +122,26 @@ def test_stack_learns_saves_and_loads(spark):
 def test_missing_features_count_as_zero(spark):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
     assert m.align_features(df, ["b", "c", "a"]).first().asDict() == {"b": 0.0, "c": 0.0, "a": 1.0}
+
+
+def test_group_folds_keep_siblings_together(spark):
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 10, 203)
+    pdf = pd.DataFrame({"g": np.repeat([f"g{i}" if i else None for i in range(203)], sizes), "label": rng.integers(0, 2, sizes.sum())})
+    out = m.assign_group_folds(spark.createDataFrame(pdf, "g string, label int"), "label", "g").toPandas()
+    assert len(out) == len(pdf) and (out.groupby("g", dropna=False)["fold"].nunique() == 1).all()
+    groups = out.drop_duplicates(["g"]).groupby("fold").size()
+    assert groups.max() - groups.min() <= 1
+    ones = out.groupby("fold")["label"].sum()
+    assert ones.max() - ones.min() <= out.groupby("g", dropna=False)["label"].sum().max()
+
+
+def test_report_is_made_without_siblings(spark):
+    """Labels drawn per base say nothing about unseen bases, though each base's rows are alike."""
+    rng = np.random.default_rng(6)
+    y = np.repeat(np.arange(40) % 2, 6)
+    pdf = pd.DataFrame({"dataset_id": [f"b{i // 6}#{i}" for i in range(240)], "base": [f"b{i // 6}" for i in range(240)],
+                        "f1": np.repeat(rng.normal(size=40), 6), "f2": np.repeat(rng.normal(size=40), 6), "label": y})
+    s = m.Settings(boost_trees=4, boost_depth=4, forest_trees=10, forest_depth=6, isolation_trees=10)
+    auc = lambda df: {r["metric"]: r["value"] for r in m.train(spark.createDataFrame(df), s)[1].collect()}["oof_auc"]
+    assert auc(pdf.drop(columns="base")) > 0.95 > 0.85 > auc(pdf)

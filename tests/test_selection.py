@@ -1,13 +1,16 @@
-"""Exact samples by selection, row digests and sketch states."""
+"""Exact samples by selection, row digests, sketch states and Gram sums."""
 
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablewitness.operators import corruption, sketches
 from tablewitness.operators.duplicates import repeat_share, row_digest
+from tablewitness.operators.moments import correlations
 
 BY = ["dataset_id"]
 
@@ -76,3 +79,34 @@ def test_states_merge_to_the_whole(spark, tmp_path):
                     assert low - sketches.RANK_ERROR <= q <= high + sketches.RANK_ERROR
             else:
                 assert r.median is None and r.lo is None
+
+
+def test_pair_sums_per_dataset(spark, monkeypatch):
+    """Gaps, a null integer key, a constant column, a large offset and tasks that hand on early."""
+    monkeypatch.setattr("tablewitness.operators.moments.HELD_PAIRS", 6)
+    rng = np.random.default_rng(8)
+    n, big = 3000, 2**60 + 1
+    pdf = pd.DataFrame({"a": rng.normal(1e9, 1, n), "b": rng.normal(size=n), "c": np.full(n, 0.1), "d": rng.exponential(size=n)})
+    pdf["b"] += pdf["a"] - 1e9
+    pdf.loc[rng.random(n) < 0.2, "d"] = np.nan
+    key = rng.choice(3, n)
+    rows = [(None if k == 0 else big + int(k), *(None if np.isnan(v) else float(v) for v in r)) for k, r in zip(key, pdf.to_numpy())]
+    df = spark.createDataFrame(rows, "g bigint, a double, b double, c double, d double").repartition(7)
+    got = {(r["g"], r["a"], r["b"]): r["r"] for r in correlations(df, list("abcd"), ["g"]).collect()}
+    assert len(got) == 18
+    near = pdf.assign(a=pdf["a"] - 1e9)  # exact, and easier for the reference's running means
+    for k in range(3):
+        want = near[key == k].corr().fillna(0.0)
+        for a, b in ("ab", "ac", "ad", "bc", "bd", "cd"):
+            assert got[None if k == 0 else big + k, a, b] == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_pair_sums_of_a_wide_table(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 120))
+    names = [f"c{i}" for i in range(120)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    r = correlations(df, names, ["dataset_id"], True).toPandas()
+    want = np.corrcoef(x.T)
+    assert len(r) == 120 * 119 // 2
+    assert np.allclose(r["r"], [want[int(a[1:]), int(b[1:])] for a, b in zip(r["a"], r["b"])])
