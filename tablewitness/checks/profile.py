@@ -10,7 +10,7 @@ from tablewitness.checks.registry import (
 from tablewitness.functions.scalars import finite_or
 from tablewitness.operators import sketches
 from tablewitness.operators.benford import benford_error, digit_counts, first_digit_table
-from tablewitness.operators.columns import long_numbers
+from tablewitness.operators.columns import categorical_columns, long_numbers, numeric_columns
 from tablewitness.operators.duplicates import duplicate_share, near_duplicate_share
 from tablewitness.operators.histogram import column_histogram, column_shapes, text_histogram, text_shapes, value_histogram
 from tablewitness.operators.isolation import grow_forest, outlier_fraction, score_one
@@ -115,12 +115,13 @@ def agg05(spark, folder):
        + count(DISTINCT o_orderdate) + count(DISTINCT o_orderpriority)) / 6e0 / count(*), 6) AS mean_cardinality FROM orders""",
 )
 def agg06(spark, folder):
+    from tablewitness.plans.profile import _entropy
+
     df = dataset(spark, folder, "orders")
     cols = [c for c in df.columns if c not in BY]
-    per = text_histogram(df, cols, BY).groupBy(*BY, "column").agg(F.count(F.lit(1)).alias("d"))
-    rows = df.groupBy(*BY).agg(F.count(F.lit(1)).alias("rows"))
-    mean = per.groupBy(*BY).agg((F.sum("d") / F.lit(float(len(cols)))).alias("d"))
-    return mean.join(F.broadcast(rows), BY).select(*BY, r6(F.col("d") / F.col("rows")).alias("mean_cardinality"))
+    values = column_shapes(column_histogram(df, numeric_columns(df, BY), BY), BY)
+    out = _entropy(df, cols, categorical_columns(df, BY), values, BY, True)
+    return rounded(out, ["mean_cardinality"]).select(*BY, "mean_cardinality")
 
 
 _STATE_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
