@@ -20,7 +20,7 @@ from tablewitness.operators.moments import (
 )
 from tablewitness.operators.normality import shapiro_columns
 from tablewitness.operators.permutation import correlation_consistency
-from tablewitness.plans.profile import string_variance
+from tablewitness.plans.profile import _entropy, _shape_features, _summary_features, clustered_duplicates, rounded_share, string_variance
 from tablewitness.plans.report import benford_column
 from tablewitness.session import scratch_path
 
@@ -46,23 +46,26 @@ def agg01(spark, folder):
 _ENTROPY = "-sum(c::DOUBLE / n * log2(c::DOUBLE / n + 1e-9))"
 
 
+# Datasets of single suppliers, and one of all suppliers with an even number: only this one repeats itself.
+_SUPPLIER = "l_suppkey % 2 * l_suppkey"
+_MANY_VALUED = ("l_quantity", "l_discount", "l_tax")
+
+
 @query(
     "agg02_clustered_duplicates",
-    f"""WITH cells AS ({" UNION ALL ".join(f"SELECT l_returnflag AS d, '{c}' AS k, {c}::VARCHAR AS v FROM lineitem" for c in DUP)}),
+    f"""WITH cells AS ({" UNION ALL ".join(f"SELECT {_SUPPLIER} AS d, '{c}' AS k, {c}::VARCHAR AS v FROM lineitem" for c in _MANY_VALUED)}),
         hist AS (SELECT d, k, v, count(*) AS c, sum(count(*)) OVER (PARTITION BY d, k) AS n FROM cells GROUP BY d, k, v),
         ent AS (SELECT d, avg(e) AS mean_entropy FROM (SELECT d, k, {_ENTROPY} AS e FROM hist GROUP BY d, k) GROUP BY d),
-        dup AS (SELECT l_returnflag AS d, sum(c - 1)::DOUBLE / sum(c) AS raw FROM (SELECT l_returnflag, l_quantity, l_discount, l_tax, l_linestatus, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY 1)
-        SELECT d AS dataset_id, round(mean_entropy, 6) AS mean_entropy, raw > 0.1e0 AND mean_entropy > 2.5e0 AS clustered_observations,
-               round(CASE WHEN raw > 0.1e0 AND mean_entropy > 2.5e0 THEN raw * 0.3e0 ELSE raw END, 6) AS duplicate_pct
+        dup AS (SELECT d, sum(c - 1)::DOUBLE / sum(c) AS raw FROM (SELECT {_SUPPLIER} AS d, l_quantity, l_discount, l_tax, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY 1)
+        SELECT d AS dataset_id, round(mean_entropy, 6) AS mean_entropy, raw > 0.1e0 AND mean_entropy > 3.5e0 AS clustered_observations,
+               round(CASE WHEN raw > 0.1e0 AND mean_entropy > 3.5e0 THEN raw * 0.3e0 ELSE raw END, 6) AS duplicate_pct
         FROM ent JOIN dup USING (d)""",
 )
 def agg02(spark, folder):
-    df = dataset(spark, folder, "lineitem", "l_returnflag").select(*BY, *DUP)
-    entropy = text_shapes(text_histogram(df, DUP, BY), BY, False).groupBy(*BY).agg(F.avg("entropy").alias("mean_entropy"))
-    both = entropy.join(duplicate_share(df, BY), BY)
-    # The entropy mark is lowered to 2.5 here, so that this table has clustered datasets.
-    clustered = (F.col("duplicate_raw") > 0.10) & (F.col("mean_entropy") > 2.5)
-    value = F.when(clustered, F.col("duplicate_raw") * 0.3).otherwise(F.col("duplicate_raw"))
+    df = dataset(spark, folder, "lineitem").withColumn("dataset_id", F.expr(_SUPPLIER)).select(*BY, *_MANY_VALUED)
+    values = column_shapes(column_histogram(df, _MANY_VALUED, BY), BY)
+    both = _entropy(df, _MANY_VALUED, [], values, BY, False).join(duplicate_share(df, BY), BY)
+    clustered, value = clustered_duplicates(F.col("duplicate_raw"), F.col("mean_entropy"))
     return both.select(*BY, r6(F.col("mean_entropy")).alias("mean_entropy"), clustered.alias("clustered_observations"), r6(value).alias("duplicate_pct"))
 
 
@@ -115,8 +118,6 @@ def agg05(spark, folder):
        + count(DISTINCT o_orderdate) + count(DISTINCT o_orderpriority)) / 6e0 / count(*), 6) AS mean_cardinality FROM orders""",
 )
 def agg06(spark, folder):
-    from tablewitness.plans.profile import _entropy
-
     df = dataset(spark, folder, "orders")
     cols = [c for c in df.columns if c not in BY]
     values = column_shapes(column_histogram(df, numeric_columns(df, BY), BY), BY)
@@ -152,19 +153,30 @@ def agg06_states(spark, folder):
     )
 
 
-@query(
-    "agg07_rounded_numbers",
-    f"""SELECT l_returnflag AS dataset_id, round(sum(w)::DOUBLE / sum(n) * CASE WHEN avg(narrow::INT) > 0.5e0 THEN 0.5e0 ELSE 1e0 END, 6) AS rounded_num_ratio,
+def _rounded_sql(columns) -> str:
+    return f"""SELECT l_returnflag AS dataset_id, round(sum(w)::DOUBLE / sum(n) * CASE WHEN avg(narrow::INT) > 0.5e0 THEN 0.5e0 ELSE 1e0 END, 6) AS rounded_num_ratio,
         avg(narrow::INT) > 0.5e0 AS narrow_numeric_range FROM (
           SELECT l_returnflag, "column", count(*) AS n, sum((value = floor(value))::INT) AS w, max(value) - min(value) < 50 AS narrow
-          FROM ({sql_long("lineitem", LINEITEM[3:], ["l_returnflag"])}) GROUP BY 1, 2) GROUP BY 1""",
-)
+          FROM ({sql_long("lineitem", columns, ["l_returnflag"])}) GROUP BY 1, 2) GROUP BY 1"""
+
+
+def _rounded(spark, folder, columns):
+    df = dataset(spark, folder, "lineitem", "l_returnflag").select(*BY, *columns)
+    whole = _shape_features(column_shapes(column_histogram(df, columns, BY), BY), columns, BY)
+    widths = _summary_features(df, numeric_summary(df, columns, BY), columns, BY)
+    narrow, share = rounded_share(F.col("_whole"), F.col("_narrow"))
+    return whole.join(widths, BY).select(*BY, r6(share).alias("rounded_num_ratio"), narrow.alias("narrow_numeric_range"))
+
+
+@query("agg07_rounded_numbers", _rounded_sql(LINEITEM))
 def agg07(spark, folder):
-    per = shapes(spark, folder, "lineitem", LINEITEM[3:], "l_returnflag")
-    narrow = F.avg((F.col("hi") - F.col("lo") < 50).cast("double"))
-    out = per.groupBy(*BY).agg((F.sum("n_whole") / F.sum("n")).alias("w"), (narrow > 0.5).alias("narrow_numeric_range"))
-    ratio = F.when(F.col("narrow_numeric_range"), F.col("w") * 0.5).otherwise(F.col("w"))
-    return out.select(*BY, r6(ratio).alias("rounded_num_ratio"), "narrow_numeric_range")
+    return _rounded(spark, folder, LINEITEM)
+
+
+@query("agg07_narrow_columns", _rounded_sql(LINEITEM[3:]))
+def agg07_narrow(spark, folder):
+    """Mostly narrow columns, whose share of whole numbers counts half."""
+    return _rounded(spark, folder, LINEITEM[3:])
 
 
 @query(
@@ -173,8 +185,6 @@ def agg07(spark, folder):
        FROM (SELECT d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY 1""",
 )
 def agg08(spark, folder):
-    from tablewitness.plans.profile import _summary_features
-
     df = _gappy(spark, folder)
     cols = ["n_chars", "quality", "toxic"]
     out = _summary_features(df, numeric_summary(df, cols, BY), cols, BY)

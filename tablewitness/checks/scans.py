@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from tablewitness.checks.registry import EVENTS, LINEITEM, ORDERS, dataset, query, r6, rounded, sql_long, table
 from tablewitness.functions.scalars import dataset_slug, is_dataset_page, suspicious_name
+from tablewitness.operators.benford import benford_error, digit_counts
 from tablewitness.operators.columns import categorical_columns, column_position, long_numbers, numeric_columns
+from tablewitness.operators.corruption import append_repeats, chosen_exactly, indexed
 from tablewitness.operators.histogram import text_shapes, value_histogram
+from tablewitness.operators.moments import numeric_summary, reconstruction_error
 from tablewitness.operators.ordering import series
-from tablewitness.plans.profile import sampled_entropy
-from tablewitness.session import scratch_path
+from tablewitness.operators.temporal import decomposition, sequence_steps
+from tablewitness.plans.profile import _order_entropy, sampled_entropy
+from tablewitness.session import scratch_path, stage
 from tablewitness.sources.csv import read_csv, read_csv_folder, read_first_csv
 from tablewitness.sources.tables import read_table, sample_rows, write_csv, write_report
 
@@ -224,15 +228,29 @@ def flt1(spark, folder):
     "flt2_size_guards",
     """SELECT c_nationkey, count(c_acctbal) AS n, count(c_acctbal) > 3 AS shape, count(c_acctbal) >= 8 AS ordered,
        count(c_acctbal) >= 20 AS seasonal, count(c_acctbal) > 30 AND max(c_acctbal) > 10 AND max(c_acctbal) - min(c_acctbal) > 10 AS benford,
-       count(*) > 10 AS forest FROM customer GROUP BY 1""",
+       count(*) > 10 AS forest FROM (SELECT c_acctbal, CASE WHEN c_nationkey % 3 = 0 THEN c_nationkey WHEN c_nationkey % 3 = 1 THEN 100 + c_custkey % 9 * c_nationkey
+         ELSE 1000 + c_custkey // 5 END AS c_nationkey FROM customer) GROUP BY 1""",
 )
 def flt2(spark, folder):
-    n, x = F.count("c_acctbal"), F.col("c_acctbal")
-    return table(spark, folder, "customer").groupBy("c_nationkey").agg(
-        n.alias("n"), (n > 3).alias("shape"), (n >= 8).alias("ordered"), (n >= 20).alias("seasonal"),
-        ((n > 30) & (F.max(x) > 10) & (F.max(x) - F.min(x) > 10)).alias("benford"),
-        (F.count(F.lit(1)) > 10).alias("forest"),
-    )
+    """Which measures the product gives for datasets of nations, and of parts of nations down to single customers."""
+    by = ["dataset_id"]
+    nation, cust = F.col("c_nationkey"), F.col("c_custkey")
+    small = F.when(nation % 3 == 0, nation).when(nation % 3 == 1, 100 + cust % 9 * nation).otherwise(1000 + F.floor(cust / 5))
+    t = dataset(spark, folder, "customer").withColumn("dataset_id", small.cast("bigint")).select(*by, "c_custkey", "c_acctbal")
+    s = stage(series(t, ["c_acctbal"], ["c_custkey"], by), "series")
+    keys = [*by, "column"]
+    there = lambda df, name: df.select(*by, F.lit(True).alias(name))
+    out = numeric_summary(t, ["c_acctbal"], by).select(*by, "n", F.col("skewness").isNotNull().alias("shape"))
+    measured = [
+        there(_order_entropy(sequence_steps(s, keys, False), ["c_acctbal"], by), "ordered"),
+        there(decomposition(s, keys), "seasonal"),
+        there(benford_error(digit_counts(long_numbers(t, by, ["c_acctbal"]), by), by), "benford"),
+        there(reconstruction_error(t, ["c_acctbal"], by, False).where("reconstruction_error IS NOT NULL"), "forest"),
+    ]
+    for m in measured:
+        out = out.join(m, by, "left")
+    flags = ("ordered", "seasonal", "benford", "forest")
+    return out.select(F.col("dataset_id").alias("c_nationkey"), "n", "shape", *[F.coalesce(f, F.lit(False)).alias(f) for f in flags])
 
 
 @query("flt3_feature_columns", "SELECT event_type, round(avg(value), 6) AS mean_value, count(*)::DOUBLE AS n FROM events GROUP BY 1")
@@ -267,6 +285,32 @@ def set1(spark, folder):
     return c.unionByName(s).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("amount"), 2).alias("total"))
 
 
+@query(
+    "set1_repeats_appended",
+    """WITH t AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier), n AS (SELECT count(*) AS n FROM t),
+        more AS (SELECT floor(('0x' || substr(md5(concat_ws('|', '42', 'append', 'table', i)), 1, 13))::BIGINT / 4503599627370496e0 * n)::BIGINT AS j FROM t, n WHERE i < floor(n * 0.4e0))
+        SELECT s_suppkey, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM (SELECT i FROM t UNION ALL SELECT j FROM more) JOIN t USING (i) GROUP BY 1""",
+)
+def set1_repeats(spark, folder):
+    """A table with repeats of its own rows appended: how often each row is there."""
+    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_acctbal")
+    out = append_repeats(indexed(supplier, ["s_suppkey"]), 0.8, 42)
+    return out.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("s_acctbal"), 2).alias("total"))
+
+
+@query(
+    "set2_sampled_rows_dropped",
+    """WITH t AS (SELECT doc_id, lang, source, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+        SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'drop', 'table', i)), i) AS p, count(*) OVER () AS n FROM t)
+        WHERE p > round(n * 0.4e0)""",
+)
+def set2_sampled(spark, folder):
+    """The rows that stay when exactly 40 of 100 are dropped by the hash of their place."""
+    t = stage(indexed(table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars"), ["doc_id"]), "rows")
+    drop = t.groupBy("dataset_id").agg(F.round(F.count(F.lit(1)) * 0.4).cast("long").alias("_want"))
+    return chosen_exactly(t, drop, 42, "drop").where("NOT _chosen").select("doc_id", "lang", "source", "n_chars")
+
+
 @query(
     "set2_drop_row_set",
     "SELECT doc_id, lang, source, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",

@@ -29,6 +29,11 @@ def integer_typed(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.IntegralType)
 
 
+def long_decimals(df: DataFrame) -> list[str]:
+    """Decimal columns with more digits than a double can tell apart."""
+    return [f.name for f in df.schema if isinstance(f.dataType, T.DecimalType) and f.dataType.precision > 15]
+
+
 def time_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, _TIME)]
 
@@ -42,14 +47,14 @@ def with_dataset(df: DataFrame, dataset_id: str | None) -> DataFrame:
     return df.withColumnRenamed(dataset_id, DATASET)
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN counts as missing everywhere; decimals become doubles; dots leave the column names."""
+def nan_to_null(df: DataFrame, keep_decimals: bool = False) -> DataFrame:
+    """NaN counts as missing everywhere; decimals become doubles unless kept; dots leave the column names."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, _FLOATING):
             c = F.when(~F.isnan(c), c)
-        elif isinstance(f.dataType, T.DecimalType):
+        elif isinstance(f.dataType, T.DecimalType) and not keep_decimals:
             c = c.cast("double")
         out.append(c.alias(f.name.replace(".", "_")))
     return df.select(*out)
