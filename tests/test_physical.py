@@ -71,3 +71,29 @@ def test_column_histogram_has_one_shuffle_of_cells(spark):
         found.collect()
         assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
     assert column_histogram(df.limit(0), ["x", "y"], ["dataset_id"]).count() == 0
+
+
+def test_few_datasets_stay_in_their_tasks(spark):
+    """Statistics of few datasets come to the rows; no row is shuffled by its dataset."""
+    from tablewitness.operators.isolation import outlier_fraction
+    from tablewitness.operators.moments import correlations, fill_means
+
+    df = dataset(spark, SMALL, "lineitem", "l_returnflag")
+    for out in (correlations(df, LINEITEM, BY), fill_means(df, LINEITEM, BY, False)):
+        plan = physical(out)
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    orders = dataset(spark, SMALL, "orders", "o_orderstatus")
+    assert outlier_fraction(orders, ["o_totalprice"], BY, ["o_orderkey"], False, 10).count() == 3
+
+
+def test_many_groups_meet_salted_rows(spark, monkeypatch):
+    from tablewitness.operators import columns
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("dataset_id"), "id")
+    stats = df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(columns.attach(df, stats, BY, False).collect())
+    monkeypatch.setattr(columns, "BROADCAST_GROUPS", 10)
+    salted = columns.attach(df, stats, BY, False)
+    assert "_s" in salted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(salted.collect()) == want and len(want) == 3000
+
