@@ -97,3 +97,14 @@ def test_many_groups_meet_salted_rows(spark, monkeypatch):
     assert "_s" in salted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(salted.collect()) == want and len(want) == 3000
 
+
+def test_tasks_of_a_histogram_follow_its_cells(spark, monkeypatch):
+    """A task gets so many cells however few bytes they have and however few partitions the session asks for."""
+    from tablewitness.operators import histogram
+
+    df = spark.range(40_000).select(F.concat(F.lit("d"), F.col("id") % 40).alias("dataset_id"), F.col("id").cast("double").alias("a"), (F.col("id") % 7).alias("b"))
+    want = sorted(map(str, histogram.column_shapes(histogram.column_histogram(df, ["a", "b"], BY), BY).collect()))
+    monkeypatch.setattr(histogram, "TASK_CELLS", 1000)
+    found = histogram.column_histogram(df, ["a", "b"], BY)
+    assert re.search(r"RepartitionByExpression .*, 80", found._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(map(str, histogram.column_shapes(found, BY).collect())) == want
