@@ -36,6 +36,8 @@ WORDS = 5
 FREQUENT, KNOWN = 32, 100_000
 #: Members that one task compares with a center at once, and entries of a frequent list in one part.
 MEMBERS, ENTRIES = 256, 4096
+#: Shingles among which a task looks for repeats at once.
+SEEN = 1 << 20
 _SPACE = spaces()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,19 +81,30 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows (shingle, times) for what repeats inside a batch."""
-    for whole in batches:
-        seen = []
-        for batch, data, offsets in slices([whole]):
-            values, bounds = shingle_sets(data, offsets)
-            one, two = _signatures(values, bounds)
-            seen.append(values)
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(one), pa.array(two), none, none], names=["doc_id", "n", "one", "two", "shingle", "times"])
-        values, times = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        values, times = values[times > 1], times[times > 1]
+    """A row for each document, and rows (shingle, times) for what repeats in a run of about SEEN shingles."""
+    seen, size = [], 0
+
+    def repeats() -> pa.RecordBatch:
+        values = np.concatenate(seen)
+        values.sort()
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+        times = np.diff(np.r_[first, len(values)])
+        values, times = values[first[times > 1]], times[times > 1]
         none = pa.nulls(len(values), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names=["doc_id", "n", "one", "two", "shingle", "times"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names=["doc_id", "n", "one", "two", "shingle", "times"])
+
+    for batch, data, offsets in slices(batches):
+        values, bounds = shingle_sets(data, offsets)
+        one, two = _signatures(values, bounds)
+        none = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(one), pa.array(two), none, none], names=["doc_id", "n", "one", "two", "shingle", "times"])
+        seen.append(values)
+        size += len(values)
+        if size > SEEN:
+            yield repeats()
+            seen, size = [], 0
+    if seen:
+        yield repeats()
 
 
 def _slack(n: int | np.ndarray) -> int | np.ndarray:

@@ -47,28 +47,47 @@ def _fold() -> np.ndarray:
     return table
 
 
+#: Counts of strings that a task holds before it hands them on.
+HELD_GRAMS = 1 << 20
+
+
 def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the (order + 1)-byte strings of each language in a task; a text starts after blanks."""
-    fold, counts = _fold(), {}
+    """Counts (lang, half, gram, n) of the (order + 1)-byte strings in a task; a text starts after blanks."""
+    fold, held, size = _fold(), {}, 0
+    blank = np.full(order, 32, np.uint8)
+
+    def merged() -> None:
+        for label, parts in held.items():
+            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            held[label] = [(keys, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64))]
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        merged()
+        for (lang, half), [(keys, n)] in held.items():
+            columns = [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), half, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "half", "gram", "n"])
+
     for batch, data, offsets in slices(batches):
-        data = fold[data]
-        languages = np.array(batch.column("lang").to_pylist(), dtype=object)
-        for lang in set(languages):
-            parts = [data[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(languages == lang)]
-            blank = np.full(order, 32, np.uint8)
-            joined = np.concatenate([x for p in parts for x in (blank, p)]).astype(np.uint32)
+        data, labels = fold[data], {}
+        for i, label in enumerate(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist())):
+            labels.setdefault(label, []).append(i)
+        for label, mine in labels.items():
+            joined = np.concatenate([x for i in mine for x in (blank, data[offsets[i] : offsets[i + 1]])]).astype(np.uint32)
             if len(joined) <= order:
                 continue
             keys = np.zeros(len(joined) - order, np.uint32)
             for k in range(order + 1):
                 keys = (keys << np.uint32(8)) | joined[k : len(joined) - order + k]
-            found, n = np.unique(keys, return_counts=True)
-            mine = counts.setdefault(lang, {})
-            for key, c in zip(found.tolist(), n.tolist()):
-                mine[key] = mine.get(key, 0) + c
-    for lang, mine in counts.items():
-        if mine:
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(mine)), "gram": pa.array(list(mine), pa.int64()), "n": pa.array(list(mine.values()), pa.int64())})
+            keys, n = np.unique(keys, return_counts=True)
+            held.setdefault(label, []).append((keys, n))
+            size += len(keys)
+        if size > HELD_GRAMS:
+            merged()
+            size = sum(len(parts[0][0]) for parts in held.values())
+            if size > HELD_GRAMS // 2:
+                yield from rows()
+                held, size = {}, 0
+    yield from rows()
 
 
 def quotas(counts: dict[str, int], total: int) -> dict[str, float]:
@@ -91,10 +110,30 @@ def _thinned(labelled: DataFrame, sample_rows: int) -> DataFrame:
     return rows.select("lang", "text")
 
 
+def _counts(rows: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, n0, n1): how often each string occurs in the rows (lang, text, half) of either half."""
+    grams = rows.select("lang", "text", "half").mapInArrow(lambda b: _grams(b, order), "lang string, half int, gram bigint, n bigint")
+    return grams.groupBy("lang", "gram").agg(*(F.sum(F.when(F.col("half") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
+
+
 def _counted(rows: DataFrame, order: int, min_context: int) -> Model | None:
-    grams = rows.select("lang", "text").mapInArrow(lambda b: _grams(b, order), "lang string, gram bigint, n bigint")
-    found = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return None if found.empty else _trees(found.sort_values(["lang", "gram"]), order, min_context)
+    found = _counts(rows.withColumn("half", F.lit(0)), order).toPandas()
+    return _trees(found, "n0", order, min_context)
+
+
+def _common(counts: DataFrame, order: int, min_context: int) -> DataFrame:
+    """Counts in which the strings after rare longest contexts are added up without their first byte (0 in its place).
+
+    ``share`` weighs the languages. Contexts below ``min_context`` have no row of their own in any tree, so the trees are
+    the same, and what the driver reads is bounded by the contexts, not by the rows that were counted.
+    """
+    if order == 1:
+        return counts
+    counts = counts.withColumn("context", F.shiftright("gram", 8))
+    seen = F.sum((F.col("n0") + F.col("n1")) * F.col("share"))
+    often = counts.groupBy("context").agg(seen.alias("seen")).where(F.col("seen") >= min_context).select("context", F.lit(True).alias("often"))
+    gram = F.when(F.col("often"), F.col("gram")).otherwise(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)))
+    return counts.join(often, "context", "left").groupBy("lang", "share", gram.alias("gram")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def fit(labelled: DataFrame, order: int = 3, sample_rows: int = 6000, min_context: int = 8) -> Model | None:
@@ -108,12 +147,18 @@ def fit(labelled: DataFrame, order: int = 3, sample_rows: int = 6000, min_contex
     return _counted(_thinned(labelled, sample_rows), order, min_context)
 
 
-def _trees(found, order: int, min_context: int) -> Model:
+def _trees(found, column: str, order: int, min_context: int) -> Model | None:
+    """The trees of the counts in ``column``, None without any; with a column ``share`` the rare contexts are told by weighted counts."""
+    found = found[found[column] > 0].sort_values(["lang", "gram"])
+    if found.empty:
+        return None
     languages = sorted(found["lang"].unique())
-    gram, n = found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    gram, n = found["gram"].to_numpy(np.int64), found[column].to_numpy(np.int64)
+    weight = n * found["share"].to_numpy(float) if "share" in found else n
     which = np.searchsorted(languages, found["lang"].to_numpy())
     digits = np.stack([(gram >> (8 * k)) & 255 for k in range(order, -1, -1)], 1)
-    known = np.unique(digits)
+    known = np.unique(digits[digits > 0])  # no folded byte is 0, it stands for a first byte that was left out
+    whole = digits[:, 0] > 0
     size = len(known) + 1  # the last symbol stands for bytes that were never seen
     codes = np.full(256, size - 1, np.uint8)
     codes[known] = np.arange(len(known))
@@ -133,13 +178,14 @@ def _trees(found, order: int, min_context: int) -> Model:
         for k in range(order - length, order):
             context = context * size + symbols[:, k]
         keys, inverse = np.unique(context, return_inverse=True)
-        seen = np.bincount(inverse, weights=n)
-        kept = seen >= (min_context if length > 1 else 1)
+        there = whole if length == order else np.ones(len(n), bool)
+        seen = np.bincount(inverse, weights=weight * there)
+        kept = seen >= min_context if length > 1 else seen > 0
         row_of_key = np.full(len(keys), -1, np.int64)
         row_of_key[kept] = np.arange(kept.sum())
         parent = suffix_row[keys % size ** (length - 1)]  # rows are numbered over all orders
         counts = np.zeros((int(kept.sum()), size, n_lang))
-        take = kept[inverse]
+        take = kept[inverse] & there
         np.add.at(counts, (row_of_key[inverse[take]], symbols[take, order], which[take]), n[take])
         shorter = np.concatenate(all_bits)[parent[kept]]
         base = sum(len(b) for b in all_bits)
@@ -232,8 +278,8 @@ def rates(model: Model, data: np.ndarray, offsets: np.ndarray, spare_bits: float
     return (code_lengths(model, data, offsets).min(1) - spare_bits) / np.maximum(np.diff(offsets), 1)
 
 
-def rate_bound(rows: DataFrame, quantile: float, spare_bits: float, order: int = 3, min_context: int = 8) -> float:
-    """The ``quantile`` of the rates of labelled rows, each under a model of the half of the rows without it.
+def rate_bound(rows: DataFrame, models: list[Model | None], quantile: float, spare_bits: float) -> float:
+    """The ``quantile`` of the rates of labelled rows (text, half), each under the model of the half of the rows without it.
 
     A model knows the texts it was counted on too well for a bound on others. Equal texts are in one half. The quantile
     is a rank among n + 1, so at most its complement of rows like the labelled ones lies above it; with fewer
@@ -241,27 +287,31 @@ def rate_bound(rows: DataFrame, quantile: float, spare_bits: float, order: int =
     pay for them, the bits per byte of all rows together are the bound. Only without two different texts to learn from and
     to measure there is none (infinity).
     """
-    rows = rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    models = [_counted(rows.where(F.col("half") != k), order, min_context) for k in (0, 1)]
     if None in models:
         return float("inf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             half = batch.column("half").to_numpy()
-            own = np.stack([rates(m, data, offsets, spare_bits) for m in models], 1)[np.arange(len(half)), half]
+            own = np.zeros(len(half))
+            for k in (0, 1):
+                mine = np.flatnonzero(half == k)
+                if len(mine):
+                    own[mine] = rates(models[k], data, offsets, spare_bits)[mine]
             yield pa.RecordBatch.from_pydict({"rate": own, "size": np.diff(offsets)})
 
-    found = rows.where(has_letter(F.col("text"))).select("text", "half").mapInArrow(run, "rate double, size bigint").toPandas()
-    if found.empty:
+    found = stage(rows.where(has_letter(F.col("text"))).select("text", "half").mapInArrow(run, "rate double, size bigint"), "rates")
+    n, bits, size = found.agg(F.count(F.lit(1)), F.sum(F.col("rate") * F.col("size") + F.lit(spare_bits)), F.sum("size")).first()
+    if not n:
         return float("inf")
-    rank = min(len(found), int(np.ceil((len(found) + 1) * quantile)))
-    rate, size = found["rate"].to_numpy(), found["size"].to_numpy()
-    return float(max(np.sort(rate)[rank - 1], (rate * size + spare_bits).sum() / size.sum()))
+    rank = min(n, int(np.ceil((n + 1) * quantile)))
+    edge = found.orderBy(F.desc("rate")).limit(n - rank + 1).agg(F.min("rate")).first()[0]
+    return float(max(edge, bits / size))
 
 
 def keep_known(
-    documents: DataFrame, quantile: float = 0.999, margin: float = 2.0, spare_bits: float = 400.0, sample_rows: int = 6000, **options
+    documents: DataFrame, quantile: float = 0.999, margin: float = 2.0, spare_bits: float = 400.0, even_rows: int = 6000,
+    order: int = 3, min_context: int = 8,
 ) -> DataFrame:
     """The documents, with their columns, that have a letter and fit a learned language.
 
@@ -269,14 +319,23 @@ def keep_known(
     quantile there are clean texts still. ``spare_bits`` of each text do not count: one pasted key of 20
     bytes costs about so much, and shorter texts say too little. Without two different labelled texts all texts with a
     letter stay.
+
+    All labelled rows that are not held out are counted and measured. Only the size of the trees is bounded: the longest contexts
+    get a row of their own when ``even_rows`` rows, as even between the languages as they allow, would hold them ``min_context`` times.
     """
-    learn = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    learn = stage(_thinned(learn.select("doc_id", "lang", "text"), sample_rows), "labelled")  # read by each fit
-    bound = margin * rate_bound(learn, quantile, spare_bits, **options)
+    learn = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    learn = learn.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
     lettered = documents.where(has_letter(F.col("text")))
+    numbers = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    if not numbers:
+        return lettered
+    share = F.create_map(*(F.lit(x) for item in sorted(quotas(numbers, even_rows).items()) for x in item))[F.col("lang")]
+    counts = stage(_counts(learn, order).withColumn("share", share), "grams")
+    found = _common(counts, order, min_context).toPandas()
+    bound = margin * rate_bound(learn, [_trees(found, n, order, min_context) for n in ("n1", "n0")], quantile, spare_bits)
     if bound == float("inf"):
         return lettered
-    model = _counted(learn, **{"order": 3, "min_context": 8, **options})
+    model = _trees(found.assign(n=found["n0"] + found["n1"]), "n", order, min_context)
     columns = [f"_{k}" for k in range(len(documents.columns))]  # so that no name clashes
     at = documents.columns.index("text")
     plain = lettered.toDF(*(c if k != at else "text" for k, c in enumerate(columns)))

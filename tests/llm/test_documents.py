@@ -455,3 +455,41 @@ def test_license_words_lose_nothing(spark, docs, monkeypatch):
     assert licenses.telling_words([["a", "of"], ["license", "of"]]) == [("license",), ("of", "a")]
     monkeypatch.setattr(licenses, "telling_words", lambda minima: [("",)])  # every text has the empty word
     assert {tuple(r) for r in licenses.find(docs).collect()} == found
+
+
+def test_language_stage_counts_every_labelled_row(spark, docs, monkeypatch):
+    """The trees hold the counts of all labelled rows, however few rows give their size, and rare languages keep their contexts."""
+    trees, counted, most = language._trees, [], []
+
+    def spy(found, column, order, min_context):
+        counted.append(int(found[column].sum()))
+        most.append(found)
+        return trees(found, column, order, min_context)
+
+    monkeypatch.setattr(language, "_trees", spy)
+    language.keep_known(docs)
+    learn = docs.where(~language.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    size, n = learn.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    assert size <= counted[2] <= size + 3 * n and counted[0] + counted[1] == counted[2]  # a text starts after three blanks
+    language.keep_known(docs, even_rows=2)
+    assert counted[5] == counted[2]
+    assert len(most[5]) < len(most[2])  # rare contexts are added up before they are read
+
+
+def test_rare_contexts_are_added_up_without_a_change_of_the_trees(spark):
+    texts_ = [("en", "the cat and the dog and the cat", 0), ("en", "a cat sat on the mat", 1), ("de", "der Hund und die Katze", 0)] * 3
+    counts = language._counts(spark.createDataFrame(texts_, "lang string, text string, half int"), 3).withColumn("share", F.lit(1.0))
+    plain, short = counts.toPandas(), language._common(counts, 3, 8).toPandas()
+    assert len(short) < len(plain)
+    for column in ("n0", "n1"):
+        a, b = (language._trees(found, column, 3, 8) for found in (plain, short))
+        assert a.languages == b.languages and (a.rows == b.rows).all() and np.allclose(a.bits, b.bits)
+
+
+def test_survey_finds_repeats_in_short_runs(spark, docs, monkeypatch):
+    """Runs of any length give the same components; a run never holds more than a slice beyond its bound."""
+    want = sorted(jaccard.join(docs).select("doc_id", "component_id").collect(), key=str)
+    monkeypatch.setattr(jaccard, "SEEN", 500)
+    batches = docs.select("doc_id", "text").toArrow().to_batches()
+    held = [b for b in jaccard._survey(iter(batches)) if b.column("shingle").null_count < b.num_rows]
+    assert held and sorted(jaccard.join(docs).select("doc_id", "component_id").collect(), key=str) == want
