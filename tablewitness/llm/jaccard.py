@@ -13,18 +13,22 @@ classes link when 100 |x ∩ y| >= 80 |x ∪ y|, which asks for T = ceil(4 (|x|
    classes that reach T are linked. Large groups of near copies are joined in this way by as
    many comparisons as there are list entries.
 3. Rest. Classes that share a list and are not yet in one component are compared pair by pair, so that
-   no link between components is missed.
+   no link between components is missed. The pairs of a list are looked at where the list lies; what leaves
+   it are distinct pairs whose sizes and places allow a link.
+
+In both steps a pair first meets as two bitmaps, the parity of the shingles in each of 512 buckets: sets differ in at
+least as many shingles as their bitmaps in bits. Only pairs that this does not refute bring their sets together.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewitness.llm.components import components
@@ -38,6 +42,9 @@ FREQUENT, KNOWN = 32, 100_000
 MEMBERS, ENTRIES = 256, 4096
 #: Shingles among which a task looks for repeats at once.
 SEEN = 1 << 20
+#: Bits of a bitmap, pairs that a task looks at or holds at once, and the longest lists that it takes many at a time.
+BITS, HELD, SHORT = 512, 1 << 20, 64
+_ENTRY = "shingle bigint, one bigint, n int, part int, pos int"
 _SPACE = spaces()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,36 +145,113 @@ def _prefixes(frequent: np.ndarray, times: np.ndarray):
     return run
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by shingle, part, one and n: its distinct rows."""
+    last = None
+    for batch in batches:
+        known = [batch.column(c).to_numpy() for c in ("shingle", "part", "one", "n")]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in known], axis=0)
+        if batch.num_rows:
+            new[0] = last != tuple(c[0] for c in known)
+            last = tuple(c[-1] for c in known)
+        yield batch.filter(pa.array(new))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batches of a partition sorted by ``keys``, cut so that no list is in two of them, and where the lists begin."""
+
+    def begins(batch: pa.RecordBatch) -> np.ndarray:
+        known = [batch.column(c).to_numpy() for c in keys]
+        return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in known], axis=0)])
+
+    held: list[pa.RecordBatch] = []  # the list that may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = begins(batch)[-1]
+        if cut or (held and any(held[-1].column(c)[0] != batch.column(c)[0] for c in keys)):
+            done = pa.concat_batches([*held, batch.slice(0, cut)])
+            yield done, begins(done)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        done = pa.concat_batches(held)
+        yield done, begins(done)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by shingle, one and n: distinct rows whose shingle has two classes or more.
+    """Of a partition sorted by shingle, part, one and n: distinct rows whose list has two classes or more, and its ``length``.
 
     Entries of frequent shingles always stay, because their lists may be split.
     """
-    held: pa.RecordBatch | None = None
-    last: tuple | None = None  # the list that goes on in the next batch, and whether it has had two
-    for batch in batches:
-        if held is not None:
-            batch = pa.concat_batches([held, batch])
-        key = batch.column("shingle").to_numpy()
-        # The last two rows wait, so that each is judged with its neighbours.
-        known = [batch.column(c).to_numpy() for c in ("shingle", "one", "n", "part")]
-        new = np.ones(batch.num_rows, bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in known], axis=0)
-        distinct = batch.filter(pa.array(new))
-        key = distinct.column("shingle").to_numpy()
-        same = key[1:] == key[:-1]
-        twice = np.zeros(len(key), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        if last is not None and len(key) and key[0] == last[0]:
-            twice[0] |= last[1]
-        keep = twice | (distinct.column("part").to_numpy() > 0)
-        yield distinct.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
-        last = (key[-1], bool(twice[-1]))
-        held = distinct.slice(len(key) - 1)
-    if held is not None and held.num_rows:
-        keep = last[1] or held.column("part")[0].as_py() > 0
-        yield held if keep else held.slice(0, 0)
+    for batch, first in _whole(_distinct(batches), ("shingle", "part")):
+        sizes = np.diff(np.r_[first, batch.num_rows])
+        length = np.repeat(sizes, sizes)
+        keep = pa.array((length > 1) | (batch.column("part").to_numpy() > 0))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(length)], names=[*batch.schema.names, "length"]).filter(keep)
+
+
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs (center, member) of other labels in one list whose sizes and places allow a link.
+
+    Rows (shingle, rep, n, can, pos, label) come sorted by shingle. Of long lists all rows but those of the most
+    frequent label meet the whole list, a block at a time.
+    """
+    found: list[np.ndarray] = []
+    size = 0
+
+    def allowed(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        both = 4 * (n[p] + n[q])
+        ok = (label[p] != label[q]) & (9 * np.minimum(can[p], can[q]) >= both)
+        # Linked sets share one of the first |x| - T + 1 shingles of both.
+        ok &= (9 * (n[p] - pos[p]) >= both) & (9 * (n[q] - pos[q]) >= both)
+        a, b = rep[p[ok]], rep[q[ok]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+    def met() -> Iterator[np.ndarray]:
+        for length in np.unique(sizes[(sizes > 1) & (sizes <= SHORT)]):
+            one, two = np.triu_indices(length, 1)
+            starts = first[sizes == length]
+            for k in range(0, len(starts), max(1, HELD // len(one))):
+                at = starts[k : k + max(1, HELD // len(one)), None]
+                yield allowed((at + one).ravel(), (at + two).ravel())
+        for start, length in zip(first[sizes > SHORT], sizes[sizes > SHORT]):
+            every = np.arange(start, start + length)
+            labels, code = np.unique(label[every], return_inverse=True)
+            few = every[code != np.bincount(code).argmax()]
+            for k in range(0, len(few), max(1, HELD // length)):
+                block = few[k : k + max(1, HELD // length)]
+                yield allowed(np.repeat(block, length), np.tile(every, len(block)))
+
+    def distinct() -> np.ndarray:
+        return np.unique(np.concatenate(found), axis=0)
+
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"center": np.ascontiguousarray(pairs[:, 0]), "member": np.ascontiguousarray(pairs[:, 1])})
+
+    for batch, first in _whole(batches, ("shingle",)):
+        sizes = np.diff(np.r_[first, batch.num_rows])
+        rep, n, can, pos, label = (batch.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "can", "pos", "label"))
+        for pairs in met():
+            if not len(pairs):
+                continue
+            found.append(pairs)
+            size += len(pairs)
+            if size >= HELD:
+                found = [distinct()]
+                size = len(found[0])
+                if size >= HELD // 2:
+                    yield out(found[0])
+                    found, size = [], 0
+    if found:
+        yield out(distinct())
+
+
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of BITS buckets, as 64-bit words."""
+    odd = np.bincount((values % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def required(a, b):
@@ -243,24 +327,30 @@ def _possible(a: str, b: str) -> Column:
     return 9 * F.least(f"{a}.can", f"{b}.can") >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _early(a: str, at: str, b: str) -> Column:
-    """Linked sets share one of the first |x| - T + 1 shingles of both: ``at`` is that early in ``a``."""
-    return 9 * (F.col(f"{a}.n") - F.col(at)) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
-
-
 def _candidates(met: DataFrame) -> DataFrame:
-    """Pairs (center, member) of rows (a, b, shingle) with the lists in common that a link needs.
+    """Pairs (center, member) of rows (a, b), one for each list, with the lists in common that a link needs.
 
     All common shingles up to the end of one prefix are in both, so at most c and what follows that
     prefix is common.
     """
     rest = lambda x: F.col(f"{x}.n") - _prefix(F.col(f"{x}.n"))
     need = F.ceil(4 * (F.col("a.n") + F.col("b.n")) / 9) - F.greatest(rest("a"), rest("b"))
-    pairs = met.select("shingle", F.col("a.rep").alias("center"), F.col("b.rep").alias("member"), need.alias("need")).distinct()
+    pairs = met.select(F.col("a.rep").alias("center"), F.col("b.rep").alias("member"), need.alias("need"))
     pairs = pairs.groupBy("center", "member").agg(F.count("*").alias("c"), F.max("need").alias("need"))
     return pairs.where(F.col("c") >= F.col("need")).select("center", "member")
 
 
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (center, member) whose bitmaps differ in no more bits than the sets of a link may differ in shingles."""
+    small = sets.select("rep", F.size("set").cast("long").alias("n"), "bits")
+    left, right = (small.toDF(side, f"n_{side}", f"bits_{side}") for side in ("center", "member"))
+    bits = F.zip_with("bits_center", "bits_member", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(bits, F.lit(0), lambda a, b: a + b)
+    both = F.col("n_center") + F.col("n_member")
+    met = pairs.join(left, "center").join(right, "member")
+    return met.where(differ <= both - 2 * F.ceil(4 * both / 9)).select("center", "member").distinct()
+
+
 def join(documents: DataFrame) -> DataFrame:
     """Components of linked documents: (doc_id, n_shingles, component_id), a row for each row.
 
@@ -275,49 +365,44 @@ def join(documents: DataFrame) -> DataFrame:
     known = repeats.orderBy(F.desc("times"), "shingle").limit(KNOWN).toPandas()  # bounded; orders the prefixes only
     frequent = known["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(frequent)
-    entries = docs.select("text").mapInArrow(_prefixes(frequent[order], known["times"].to_numpy(np.int64)[order]), "shingle bigint, one bigint, n int, part int, pos int")
-    shared = entries.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "one", "n").mapInArrow(_shared, entries.schema)
+    entries = docs.select("text").mapInArrow(_prefixes(frequent[order], known["times"].to_numpy(np.int64)[order]), _ENTRY)
+    shared = entries.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "one", "n").mapInArrow(_shared, f"{_ENTRY}, length bigint")
     shared = stage(shared, "shared")
 
     classes = rows.where(F.col("n") > 0).groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")).where(F.col("rep").isNotNull())
     enough = shared.groupBy("one", "n").agg(F.count("*").alias("c")).where(F.col("c") > F.floor(F.floor(0.8 * F.col("n")) / 50))
     active = stage(classes.join(enough.select("one", F.col("n").cast("long").alias("n")), ["one", "n"]).select("rep", "one", F.col("n").cast("int").alias("n")), "active")
-    index = shared.join(active, ["one", "n"]).select("shingle", "part", "rep", "n", "pos")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             values, bounds = shingle_sets(data, offsets)
             one, _ = _signatures(values, bounds)
             found = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
+            bits = pa.array([bitmap(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int64()))
             right = pa.array(one == batch.column("one").to_numpy())  # an id may have other texts as well
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["rep", "set"]).filter(right)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found, bits], names=["rep", "set", "bits"]).filter(right)
 
     # The active classes grow with the documents, so they are never broadcast. Repeated rows fall together here.
     chosen = active.select(F.col("rep").alias("doc_id"), "one").hint("merge")
     wanted = docs.withColumn("mark", F.xxhash64("text")).join(chosen, "doc_id").dropDuplicates(["doc_id", "one", "mark"]).select("doc_id", "one", "text")
-    sets = stage(wanted.mapInArrow(sets_of, "rep bigint, set array<bigint>"), "sets")
+    sets = stage(wanted.mapInArrow(sets_of, "rep bigint, set array<bigint>, bits array<bigint>"), "sets")
 
     # Of the prefix, what has no row in the index is in no other set: that bounds all overlaps of a set.
     # Stars: the center of a list is the class that is in the most lists, as a common origin is.
-    lengths = index.groupBy("shingle", "part").agg(F.count("*").alias("length"))
-    index = stage(index, "index")
-    facts = index.join(lengths, ["shingle", "part"]).groupBy("rep", "n").agg(F.sum("length").alias("lists"), F.count("*").alias("here"))
-    facts = facts.select("rep", F.struct(F.col("lists") / F.col("n"), "rep", "n", (F.col("n") - _prefix(F.col("n")) + F.col("here")).alias("can")).alias("x"))
-    index = stage(index.select("shingle", "part", "rep", "pos").join(facts, "rep"), "index")
-    centers = index.groupBy("shingle", "part").agg(F.max("x").alias("a"))
-    stars = index.withColumnRenamed("x", "b").join(centers, ["shingle", "part"]).where((F.col("a.rep") != F.col("b.rep")) & _possible("a", "b"))
-    links = stage(_links(stage(_candidates(stars), "stars"), sets), "links")
+    mine, listed = Window.partitionBy("one", "n", "rep"), Window.partitionBy("shingle", "part")
+    can = F.col("n") - _prefix(F.col("n")) + F.count("*").over(mine)
+    index = shared.join(active, ["one", "n"]).select("shingle", "part", "rep", "n", "pos", can.cast("int").alias("can"), (F.sum("length").over(mine) / F.col("n")).alias("lists"))
+    index = index.withColumn("a", F.max(F.struct("lists", "rep", "n", "can")).over(listed)).drop("part", "lists")
+    index = stage(index.withColumn("a", F.struct("a.rep", "a.n", "a.can")), "index")
+    stars = index.select("a", F.struct("rep", "n", "can").alias("b")).where((F.col("a.rep") != F.col("b.rep")) & _possible("a", "b"))
+    links = stage(_links(stage(_close(_candidates(stars), sets), "stars"), sets), "links")
     labels = components(links)
 
-    # Rest: lists that hold more than one component; all but the most frequent label against the whole list.
-    marked = stage(index.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("shingle", "x", "pos", F.coalesce("component", "rep").alias("label")), "marked")
-    several = marked.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"))
-    several = several.where(F.col("labels") > 1).select("shingle", F.col("m.label").alias("most"))
-    mixed = stage(marked.join(several, "shingle"), "mixed")
-    few = mixed.where(F.col("label") != F.col("most")).select("shingle", F.col("x").alias("p"), F.col("pos").alias("at"), F.col("label").alias("l"))
-    all_ = mixed.select("shingle", F.col("x").alias("q"), F.col("pos").alias("to"), F.col("label").alias("k"))
-    pairs = few.join(all_, "shingle").where((F.col("l") != F.col("k")) & _possible("p", "q") & _early("p", "at", "q") & _early("q", "to", "p"))
-    pairs = pairs.select(F.least("p.rep", "q.rep").alias("center"), F.greatest("p.rep", "q.rep").alias("member")).distinct()
+    # Rest: lists that hold more than one component.
+    label = F.coalesce("component", "rep").alias("label")
+    marked = index.drop("a").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("shingle", "rep", "n", "can", "pos", label)
+    pairs = marked.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_unlike, "center bigint, member bigint")
+    pairs = _close(pairs.distinct(), sets)
     more = stage(_links(stage(pairs, "pairs"), sets), "links")
     final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -493,3 +494,41 @@ def test_survey_finds_repeats_in_short_runs(spark, docs, monkeypatch):
     batches = docs.select("doc_id", "text").toArrow().to_batches()
     held = [b for b in jaccard._survey(iter(batches)) if b.column("shingle").null_count < b.num_rows]
     assert held and sorted(jaccard.join(docs).select("doc_id", "component_id").collect(), key=str) == want
+
+
+def test_jaccard_bitmaps_refute_before_sets_meet(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    origin = [f"w{k}" for k in range(200)]
+    rows = []
+    for d in range(30):  # mutual likeness about 0.6
+        own = list(origin)
+        for at in rng.choice(200, 5, replace=False):
+            own[at] = f"x{d}_{at}"
+        rows.append((d, " ".join(own)))
+    rows.append((30, rows[7][1] + " and more"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    met, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda pairs, sets: met.append(pairs.count()) or links(pairs, sets))
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert found == {d: 7 if d == 30 else d for d in range(31)}
+    assert sum(met) < 60  # of 465 pairs that share lists
+
+
+def test_jaccard_pairs_of_lists(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(s), int(r)) for s, r in zip(rng.integers(0, 30, 400), rng.integers(0, 60, 400))})
+    n, can, pos = (rng.integers(a, b, 60) for a, b in ((80, 120), (70, 120), (0, 30)))
+    can = np.minimum(n, can)
+    cells = [(s, r, n[r], can[r], pos[r], r % 7) for s, r in rows]
+    want = set()
+    for s, p, n_p, can_p, at, l in cells:
+        for t, q, n_q, can_q, to, k in cells:
+            need = 4 * (n_p + n_q)
+            if s == t and p < q and l != k and 9 * min(can_p, can_q) >= need and 9 * (n_p - at) >= need and 9 * (n_q - to) >= need:
+                want.add((p, q))
+    table = pa.table(dict(zip(("shingle", "rep", "n", "can", "pos", "label"), (pa.array(np.array(c, np.int64)) for c in zip(*cells)))))
+    for short, held, size in ((64, 1 << 20, 400), (5, 16, 7), (0, 50, 1)):
+        monkeypatch.setattr(jaccard, "SHORT", short)
+        monkeypatch.setattr(jaccard, "HELD", held)
+        out = [p for b in jaccard._unlike(iter(table.to_batches(max_chunksize=size))) for p in zip(*b.to_pydict().values())]
+        assert set(out) == want and len(want) > 20
