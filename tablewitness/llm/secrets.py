@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,6 +82,11 @@ def find(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rows.where(F.col("k") >= F.col("least")).select("blob", "rule", "version", (F.col("end") - F.col("m")).alias("start"), "end")
 
 
+def suspicious(text: Column, rules: Sequence[Rule]) -> Column:
+    """Whether any rule may match: all other texts have no findings, so they need not travel."""
+    return reduce(Column.__or__, [F.coalesce(text.rlike(r.quick), F.lit(False)) for r in rules], F.lit(False))
+
+
 class Ledger:
     """The written state of past scans; ``path`` may not exist yet."""
 
@@ -108,7 +114,7 @@ class Ledger:
     def update(self, versions: DataFrame, rules: Sequence[Rule] = RULES) -> None:
         """Scan what is new in ``versions`` (text; null counts as empty)."""
         run = uuid.uuid4().hex
-        text = F.coalesce("text", F.lit(""))
+        text = F.when(suspicious(F.col("text"), rules), F.col("text")).otherwise("")
         blobs = versions.select(blob_of(F.col("text")).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
         want = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
         seen = self.scanned().groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("seen"))
@@ -165,7 +171,8 @@ def redact(documents: DataFrame, mark: str = "[secret]", ledger: str | None = No
     columns = documents.columns
     plain = documents.toDF(*(str(k) for k in range(len(columns))))  # so that no name clashes
     old = F.col(f"`{columns.index('text')}`")
-    joined = plain.withColumn("blob", blob_of(old)).join(cuts, "blob", "left")
+    # Only texts that a rule may match meet the cuts; the others stay in their tasks.
+    joined = plain.where(suspicious(old, rules)).withColumn("blob", blob_of(old)).join(cuts, "blob", "left")
     behind = lambda i: F.when(i > 0, F.get(F.col("_cuts")["end"], (i - 1).cast("int"))).otherwise(F.lit(0))
     upto = lambda i: F.coalesce(F.get(F.col("_cuts")["start"], i.cast("int")), F.length(old).cast("long"))  # noqa: E731  cut i, or the end
     pieces = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda i: F.substring(old, (behind(i) + 1).cast("int"), (upto(i) - behind(i)).cast("int")))
@@ -174,4 +181,5 @@ def redact(documents: DataFrame, mark: str = "[secret]", ledger: str | None = No
     if "n_chars" in columns:
         count = F.col(f"`{columns.index('n_chars')}`")
         changed["n_chars"] = F.when(F.col("_cuts").isNull(), count).otherwise(F.length("new")).cast(documents.schema["n_chars"].dataType)
-    return out.select(*(changed.get(c, F.col(f"`{k}`")).alias(c) for k, c in enumerate(columns)))
+    out = out.select(*(changed.get(c, F.col(f"`{k}`")).alias(str(k)) for k, c in enumerate(columns)))
+    return out.unionByName(plain.where(~suspicious(old, rules))).toDF(*columns)

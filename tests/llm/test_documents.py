@@ -532,3 +532,13 @@ def test_jaccard_pairs_of_lists(monkeypatch):
         monkeypatch.setattr(jaccard, "HELD", held)
         out = [p for b in jaccard._unlike(iter(table.to_batches(max_chunksize=size))) for p in zip(*b.to_pydict().values())]
         assert set(out) == want and len(want) > 20
+
+
+def test_harmless_texts_do_not_travel(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "token = abcdefgh12 here", 23), (2, "nothing at all " * 50, 750), (3, None, None), (4, "nothing at all " * 50, 750)], "doc_id bigint, text string, n_chars bigint")
+    met, find = [], secrets.find
+    monkeypatch.setattr(secrets, "find", lambda blobs, rules: met.append(blobs.agg(F.sum(F.length("text")), F.count("*")).first()) or find(blobs, rules))
+    clean = secrets.redact(docs)
+    assert sorted(clean.collect(), key=lambda r: r.doc_id) == [(1, "[secret] here", 13), (2, "nothing at all " * 50, 750), (3, None, None), (4, "nothing at all " * 50, 750)]
+    assert clean.schema == docs.schema
+    assert [tuple(m) for m in met] == [(23, 3)]  # of three blobs, one with its text
