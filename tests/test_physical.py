@@ -108,3 +108,8 @@ def test_tasks_of_a_histogram_follow_its_cells(spark, monkeypatch):
     found = histogram.column_histogram(df, ["a", "b"], BY)
     assert re.search(r"RepartitionByExpression .*, 80", found._jdf.queryExecution().optimizedPlan().toString())
     assert sorted(map(str, histogram.column_shapes(found, BY).collect())) == want
+
+
+def test_tasks_of_a_histogram_hold_several_buckets():
+    """A hash deals buckets to tasks: with few large ones to a task, the fullest task holds several times the mean."""
+    assert 8 * histogram.BUCKET_ROWS <= histogram.TASK_CELLS
