@@ -112,4 +112,19 @@ def test_tasks_of_a_histogram_follow_its_cells(spark, monkeypatch):
 
 def test_tasks_of_a_histogram_hold_several_buckets():
     """A hash deals buckets to tasks: with few large ones to a task, the fullest task holds several times the mean."""
+    from tablewitness.operators import histogram
+
     assert 8 * histogram.BUCKET_ROWS <= histogram.TASK_CELLS
+
+
+def test_hash_rank_shuffles_bytes_in_the_order_of_the_text(spark):
+    """Hashes travel as 16 bytes, half of their text, and give the same places."""
+    from tablewitness.operators.ordering import hash_rank
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), "id", F.md5(F.col("id").cast("string")).alias("h"))
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r.g, r.h)):
+        want[r.id] = sum(1 for k in want if k % 3 == r.g)
+    ranked = hash_rank(df, ["g"], "h", ["id"])
+    assert {r.id: r.row_idx for r in ranked.collect()} == want
+    assert "unhex" in ranked._jdf.queryExecution().optimizedPlan().toString()
