@@ -73,6 +73,19 @@ def test_column_histogram_has_one_shuffle_of_cells(spark):
     assert column_histogram(df.limit(0), ["x", "y"], ["dataset_id"]).count() == 0
 
 
+def test_cells_of_a_bucket_travel_as_one_row():
+    """What a task holds until its shuffle is written: few rows with lists, not a row with the names of its group for each cell."""
+    import pyarrow as pa
+
+    from tablewitness.operators.histogram import _count_cells
+
+    batches = [pa.record_batch({"g": ["a", "b"] * 500, "x": [float((i * 7 + k) % 900) for i in range(1000)]}) for k in range(4)]
+    (found,) = _count_cells(["x"], ["g"], {("a",): [[300.0, 600.0]]})(iter(batches))
+    rows = found.to_pylist()
+    assert [(r["g"], r["_bucket"]) for r in rows] == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+    assert sum(sum(r["_cnts"]) for r in rows) == 4000 and all(r["_values"] == sorted(set(r["_values"])) for r in rows)
+
+
 def test_few_datasets_stay_in_their_tasks(spark):
     """Statistics of few datasets come to the rows; no row is shuffled by its dataset."""
     from tablewitness.operators.isolation import outlier_fraction
