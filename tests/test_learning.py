@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from tablewitness.operators.corruption import METHODS, indexed, perturb
 from tablewitness.operators.isolation import expected_path, forest_score, grow_tree, outlier_fraction
 from tablewitness.operators.normality import shapiro_wilk
-from tablewitness.operators.ordering import hash_rank
+from tablewitness.operators.ordering import hash_rank, ordered_index
 from tablewitness.plans import model as m
 from tablewitness.plans.corpus import chosen_methods
-from tablewitness.session import scratch_path
+from tablewitness.session import scratch_path, stage
 
 
 def test_shapiro_known_example():
@@ -95,6 +95,45 @@ def test_perturb_levels(table):
     assert sum(worse.select([F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in ("k", "a", "b", "c", "s")]).first()) > 0
 
 
+def test_few_categories_are_drawn_where_the_rows_lie(spark, monkeypatch):
+    """Few distinct cells are broadcast; the cells drawn are those of the ranked pool, empty columns of a dataset stay empty."""
+    from tablewitness.operators import corruption
+
+    df = spark.range(900).select(
+        F.when(F.col("id") < 600, "p").otherwise("q").alias("ds"), "id", (F.col("id") * 1.5).alias("x"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("s"),
+        F.when(F.col("id") < 600, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 11).cast("int"))).alias("d"),
+    )
+    t = indexed(df, ["id"], "ds")
+    with monkeypatch.context() as no_pool:
+        no_pool.setattr(corruption, "_draw_many", None)
+        few = corruption.draw_cells(t, 7, ["s", "d"], ["s", "d"]).select("dataset_id", "row_idx", "_d_s", "_d_d")
+    rows = sorted(few.collect())
+    assert len(rows) == 900 and all((r["_d_d"] is None) == (r["dataset_id"] == "q") for r in rows) and len({r["_d_s"] for r in rows}) == 5
+    whole = sorted(map(str, corruption.marginal(t, 7).collect()))
+    monkeypatch.setattr(corruption, "BROADCAST_GROUPS", 6)  # s has ten distinct cells in all, d eleven
+    assert sorted(corruption.draw_cells(t, 7, ["s", "d"], ["s", "d"]).select(few.columns).collect()) == rows
+    assert sorted(map(str, corruption.marginal(t, 7).collect())) == whole
+
+
+def test_steps_of_a_perturbation_are_not_shuffled_anew(spark, monkeypatch):
+    """What is read several times is written once, and rows that have all their places are not sorted for them."""
+    from tablewitness.operators import corruption
+
+    df = spark.range(500).select("id", (F.col("id") % 9).cast("double").alias("a"), (F.col("id") % 5).cast("string").alias("s"))
+    t = indexed(df, ["id"])
+    sorts = []
+    monkeypatch.setattr(corruption, "ordered_index", lambda *a, **k: sorts.append(a) or ordered_index(*a, **k))
+    assert [r[0] for r in corruption.places(t).where("_pos = row_idx AND _rows = 500").agg(F.count("*")).collect()] == [500] and not sorts
+    gaps = t.where("row_idx % 3 = 1")
+    assert sorted((r["row_idx"], r["_pos"], r["_rows"]) for r in corruption.places(gaps).collect()) == [(3 * i + 1, i, 167) for i in range(167)]
+    assert len(sorts) == 1
+    labels = []
+    monkeypatch.setattr(corruption, "stage", lambda t, label="stage": labels.append(label) or stage(t, label))
+    perturb(df, 0.9, ["id"])
+    assert labels.count("step") == 2
+
+
 def test_five_methods_per_dataset(spark):
     df = spark.createDataFrame([(f"d{i}",) for i in range(50)], "dataset_id string")
     picked = chosen_methods(df).toPandas()
