@@ -99,6 +99,22 @@ def test_few_datasets_stay_in_their_tasks(spark):
     assert outlier_fraction(orders, ["o_totalprice"], BY, ["o_orderkey"], False, 10).count() == 3
 
 
+def test_shuffled_cells_are_read_once(spark, monkeypatch):
+    """Their means are those of the table, also for many datasets: nothing but the sums asks for the shuffled cells."""
+    from tablewitness.operators import moments, permutation
+
+    df = dataset(spark, SMALL, "orders", "o_orderstatus").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_totalprice")))
+    names, tables = ["o_custkey", "o_totalprice"], []
+    monkeypatch.setattr(moments, "centers", lambda columns, real=moments.centers: tables.append(columns) or real(columns))
+    found = permutation.correlation_consistency(df, names, ["o_orderkey"], BY, 42)
+    assert len(tables) == 1
+    own = permutation.permuted_columns(df.select(*BY, "o_orderkey", *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)]), ["_v0", "_v1"], ["o_orderkey"], BY, 42)
+    want = {r["dataset_id"]: abs(r["r"]) for r in moments.correlations(own, ["_v0", "_v1"], BY).collect()}
+    real = {r["dataset_id"]: abs(r["r"]) for r in moments.correlations(df, names, BY).collect()}
+    for r in found.collect():
+        assert abs(r["joint_correlation_consistency"] - abs(real[r["dataset_id"]] - want[r["dataset_id"]])) < 1e-12
+
+
 def test_many_groups_meet_salted_rows(spark, monkeypatch):
     from tablewitness.operators import columns
 
