@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewitness.checks.registry import EVENTS, LINEITEM, ORDERS, dataset, query, r6, rounded, sql_long, table
 from tablewitness.functions.scalars import dataset_slug, is_dataset_page, suspicious_name
 from tablewitness.operators.benford import benford_error, digit_counts
+from tablewitness.operators.blocks import packed
 from tablewitness.operators.columns import categorical_columns, column_position, long_numbers, numeric_columns
 from tablewitness.operators.corruption import append_repeats, chosen_exactly, indexed
 from tablewitness.operators.histogram import text_shapes, value_histogram
@@ -237,8 +238,8 @@ def flt2(spark, folder):
     nation, cust = F.col("c_nationkey"), F.col("c_custkey")
     small = F.when(nation % 3 == 0, nation).when(nation % 3 == 1, 100 + cust % 9 * nation).otherwise(1000 + F.floor(cust / 5))
     t = dataset(spark, folder, "customer").withColumn("dataset_id", small.cast("bigint")).select(*by, "c_custkey", "c_acctbal")
-    s = stage(series(t, ["c_acctbal"], ["c_custkey"], by), "series")
     keys = [*by, "column"]
+    s = stage(packed(series(t, ["c_acctbal"], ["c_custkey"], by), keys, False), "series")
     there = lambda df, name: df.select(*by, F.lit(True).alias(name))
     out = numeric_summary(t, ["c_acctbal"], by).select(*by, "n", F.col("skewness").isNotNull().alias("shape"))
     measured = [
@@ -248,7 +249,7 @@ def flt2(spark, folder):
         there(reconstruction_error(t, ["c_acctbal"], by, False).where("reconstruction_error IS NOT NULL"), "forest"),
     ]
     for m in measured:
-        out = out.join(m, by, "left")
+        out = out.join(m.hint("merge"), by, "left")
     flags = ("ordered", "seasonal", "benford", "forest")
     return out.select(F.col("dataset_id").alias("c_nationkey"), "n", "shape", *[F.coalesce(f, F.lit(False)).alias(f) for f in flags])
 

@@ -94,7 +94,8 @@ def _step_sums(values: np.ndarray, facts: dict) -> tuple:
     patterns = np.bincount(4 * (a <= b) + 2 * (b <= c) + (a <= c), minlength=8)
     jumps = np.count_nonzero(step > 3.0 * (facts["std"] + EPS)) if len(step) else 0
     falls = np.count_nonzero(near[1:] < near[:-1])
-    return *_lagged(centred, own, 1), *_lagged(centred, own, min(5, n // 3)), patterns.tolist(), float(step.sum()), len(step), jumps, falls
+    pairs = *_lagged(centred, own, 1), *_lagged(centred, own, min(5, n // 3))
+    return *pairs, patterns.tolist(), float(step.sum()), len(step), jumps, falls, n, facts["std_pop"]
 
 
 def sequence_steps(s: DataFrame, keys: Sequence[str], single: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -105,8 +106,8 @@ def sequence_steps(s: DataFrame, keys: Sequence[str], single: bool, block_rows:
     """
     blocks = packed(s, keys, single, block_rows).select(*keys, "_block", "_own", "n", "mean", "std", "std_pop", "_values")
     pairs = ", ".join(f"{tag}{m} double" for tag in ("_a", "_b") for m in _PAIR)
-    sums = per_block(blocks, keys, _step_sums, f"{pairs}, patterns array<long>, steps double, stepped long, jumps long, falls long")
-    agg = sums.join(blocks.select(*keys, "_block", "n", "std_pop"), [*keys, "_block"]).groupBy(*keys).agg(
+    fields = f"{pairs}, patterns array<long>, steps double, stepped long, jumps long, falls long, n long, std_pop double"
+    agg = per_block(blocks, keys, _step_sums, fields).groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("std_pop").alias("_sd"),
         *[F.sum(F.element_at("patterns", k + 1)).alias(f"_p{k}") for k in range(8)],
         _lagged_correlation("_a").alias("autocorr_lag1"),
@@ -249,7 +250,8 @@ def decomposition(s: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROW
         F.sequence(F.lit(0), F.lit(PERIOD - 1)),
         lambda j: F.struct(j.alias("_j"), *[cell(j, i).alias(c) for i, c in enumerate(("_m", "_sd", "_sdd", "_su", "_suu", "_st", "_sut"))]),
     )
-    phases = vectors.join(sizes.select(*keys, "n"), list(keys)).select(*keys, "n", period.alias("_p"), F.inline(each)).where("_m > 0")
+    # Both sides of the joins have a row for each series and lie by series already, so none is broadcast.
+    phases = vectors.join(sizes.select(*keys, "n").hint("merge"), list(keys)).select(*keys, "n", period.alias("_p"), F.inline(each)).where("_m > 0")
     phases = phases.withColumn("_s", F.col("_sd") / F.col("_m")).withColumn(
         "_all", F.floor((F.col("n") - 1 - F.col("_j")) / F.col("_p")) + 1
     )
@@ -273,7 +275,7 @@ def decomposition(s: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROW
     residual_var = F.col("_within") / m
     trend = (F.col("_sut") - F.col("_su") * F.col("_st") / m) / (F.col("_suu") - F.col("_su") * F.col("_su") / m)
     total_var = sizes.select(*keys, (F.col("_sd") * F.col("_sd")).alias("_var"))
-    return sums.join(total_var, list(keys)).select(
+    return sums.join(total_var.hint("merge"), list(keys)).select(
         *keys,
         clip(seasonal_var / (F.col("_var") + F.lit(EPS)), 0.0, 1.0).alias("seasonality_strength"),
         clip(residual_var, 0.0, 1e6).alias("residual_variance"),

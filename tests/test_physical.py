@@ -127,6 +127,24 @@ def test_many_groups_meet_salted_rows(spark, monkeypatch):
     assert sorted(salted.collect()) == want and len(want) == 3000
 
 
+def test_many_groups_do_not_pass_the_driver(spark, monkeypatch):
+    """Copies of the statistics of many groups, and their spans, are never broadcast, however small their files are."""
+    from tablewitness.checks import QUERIES
+    from tablewitness.operators import columns, ordering
+
+    df = spark.range(3000).select((F.col("id") % 1500).alias("dataset_id"), "id")
+    stats = df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(ordering.ordered_index(df, ["id"], BY).collect())
+    before = sorted(QUERIES["flt2_size_guards"](spark, SMALL).collect())
+    for module in (columns, ordering):
+        monkeypatch.setattr(module, "BROADCAST_GROUPS", 10, raising=False)
+    placed = ordering.ordered_index(df, ["id"], BY)
+    flags = QUERIES["flt2_size_guards"](spark, SMALL)
+    for out in (columns.attach(df, stats, BY, False), placed, flags):
+        assert "BroadcastExchange" not in physical(out)
+    assert sorted(placed.collect()) == want and sorted(flags.collect()) == before
+
+
 def test_tasks_of_a_histogram_follow_its_cells(spark, monkeypatch):
     """A task gets so many cells however few bytes they have and however few partitions the session asks for."""
     from tablewitness.operators import histogram
