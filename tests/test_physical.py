@@ -115,6 +115,61 @@ def test_shuffled_cells_are_read_once(spark, monkeypatch):
         assert abs(r["joint_correlation_consistency"] - abs(real[r["dataset_id"]] - want[r["dataset_id"]])) < 1e-12
 
 
+def test_shuffled_cells_meet_in_one_shuffle(spark, monkeypatch):
+    """Parts and turns of any size give what the permuted columns give, equal keys and missing cells included."""
+    from tablewitness.operators import moments, permutation
+
+    monkeypatch.setattr(permutation, "FINE", 8)
+    cell = lambda k: F.when(F.hash("id", F.lit(k)) % 9 > 0, (F.hash("id", F.lit(k)) % 1000) * 0.5)
+    group = F.when(F.col("id") % 5 > 0, F.lit("a")).when(F.col("id") % 10 > 0, F.lit("b")).otherwise(F.lit("c"))
+    df = spark.range(6000).select(group.alias("dataset_id"), (F.col("id") % 4000).alias("k"), *[cell(i).alias(f"c{i}") for i in range(3)])
+    names = ["c0", "c1", "c2"]
+    centers = moments.group_centers(df, names, BY)
+    want = moments.correlations(permutation.permuted_columns(df, names, ["k"], BY, 42), names, BY, False, centers).collect()
+    want = {(r["dataset_id"], r["a"], r["b"]): r["r"] for r in want}
+    assert len(want) == 9
+    for cells, turn_cells in ((1 << 21, 1 << 29), (1500, 1 << 29), (1500, 5000)):
+        monkeypatch.setattr(permutation, "PART_CELLS", cells)
+        monkeypatch.setattr(permutation, "TURN_CELLS", turn_cells)
+        labels = []
+        with monkeypatch.context() as counted:
+            counted.setattr(permutation, "stage", lambda t, label, real=permutation.stage: labels.append((label, physical(t))) or real(t, label))
+            found = permutation._mixed_correlations(df, names, ["k"], BY, 42, False, centers).collect()
+        assert {(r["dataset_id"], r["a"], r["b"]) for r in found} == set(want)
+        assert all(abs(r["r"] - want[r["dataset_id"], r["a"], r["b"]]) < 1e-12 for r in found)
+        mixed = [plan for label, plan in labels if label == "mixed"]
+        assert len(mixed) == -(-18_000 // turn_cells) and all(plan.count("Exchange") == 2 and "Window" not in plan for plan in mixed)
+
+
+def test_a_profile_leaves_no_shuffle_files(spark):
+    """Files of shuffles go as their jobs end, those of chunks once the blocks are written, and the session keeps its setting."""
+    import os
+    import time
+
+    from tablewitness import profile
+    from tablewitness.session import scratch_root
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, folders = shuffles(), set(os.listdir(scratch_root(spark)))
+    setting = spark.conf.get(key, "false")
+    assert profile(table(spark, SMALL, "orders").drop("o_orderdate"), ["o_orderkey"]).count() == 1
+    for _ in range(20):  # files are removed in the background
+        left = {name.split("_")[1] for name in shuffles() - before}
+        if len(left) <= 3:
+            break
+        time.sleep(0.5)
+    assert len(left) <= 3  # of the count itself
+    assert spark.conf.get(key, "false") == setting
+    made = {name.split("-")[0] for name in set(os.listdir(scratch_root(spark))) - folders}
+    assert "blocks" in made and "chunks" not in made
+
+
 def test_many_groups_meet_salted_rows(spark, monkeypatch):
     from tablewitness.operators import columns
 
