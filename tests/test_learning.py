@@ -158,6 +158,29 @@ def test_stack_learns_saves_and_loads(spark):
     assert a[a.label == 1]["probability"].mean() > a[a.label == 0]["probability"].mean()
 
 
+def boosted_settings(spark, monkeypatch, name):
+    """Sizes of the boosted model that a query fits, and its rows, on 80 feature rows and with two trees."""
+    from dataclasses import replace
+
+    from tablewitness.checks import QUERIES, learning
+
+    rng = np.random.default_rng(7)
+    y = np.tile([0, 1], 40)
+    pdf = pd.DataFrame({"dataset_id": [f"b{i // 2}#{i % 2}" for i in range(80)], "base": [f"b{i // 2}" for i in range(80)],
+                        "f1": rng.normal(size=80) + 2.0 * y, "f2": rng.normal(size=80), "label": y})
+    seen = []
+    monkeypatch.setattr(learning, "_monthly_corpus", lambda *_: stage(spark.createDataFrame(pdf), "features"))
+    monkeypatch.setattr(m, "boosted", lambda s, real=m.boosted: seen.append(s) or real(replace(s, boost_trees=2, boost_depth=2)))
+    rows = QUERIES[name](spark, "").collect()
+    assert spark.sparkContext.getCheckpointDir()  # else each tree would be computed from all trees before
+    return [(s.boost_trees, s.boost_depth, s.boost_step) for s in seen], rows
+
+
+def test_boosted_trees_have_their_full_sizes(spark, monkeypatch):
+    sizes, rows = boosted_settings(spark, monkeypatch, "ml2_boosted_trees")
+    assert sizes == [(300, 6, 0.06)] and len(rows) == 16
+
+
 def test_missing_features_count_as_zero(spark):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
     assert m.align_features(df, ["b", "c", "a"]).first().asDict() == {"b": 0.0, "c": 0.0, "a": 1.0}
