@@ -181,6 +181,11 @@ def test_boosted_trees_have_their_full_sizes(spark, monkeypatch):
     assert sizes == [(300, 6, 0.06)] and len(rows) == 16
 
 
+def test_the_single_model_has_its_own_sizes(spark, monkeypatch):
+    sizes, rows = boosted_settings(spark, monkeypatch, "ml9_single_model_report")
+    assert sizes == [(300, 6, 0.08)] and len(rows) >= 4
+
+
 def test_missing_features_count_as_zero(spark):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
     assert m.align_features(df, ["b", "c", "a"]).first().asDict() == {"b": 0.0, "c": 0.0, "a": 1.0}
