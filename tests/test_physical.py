@@ -142,7 +142,7 @@ def test_shuffled_cells_meet_in_one_shuffle(spark, monkeypatch):
 
 
 def test_a_profile_leaves_no_shuffle_files(spark):
-    """Files of shuffles go as their jobs end, those of chunks once the blocks are written, and the session keeps its setting."""
+    """Files of shuffles go as their jobs end, written steps with the last measure, and the session keeps its setting."""
     import os
     import time
 
@@ -167,7 +167,23 @@ def test_a_profile_leaves_no_shuffle_files(spark):
     assert len(left) <= 3  # of the count itself
     assert spark.conf.get(key, "false") == setting
     made = {name.split("-")[0] for name in set(os.listdir(scratch_root(spark))) - folders}
-    assert "blocks" in made and "chunks" not in made
+    assert made == {"part", "domain"}
+
+
+def test_labelled_features_leave_only_their_results(spark):
+    """Versions, corpora and steps go as soon as what is made of them is written; two rows of one run stay readable."""
+    import os
+
+    from tablewitness.plans.corpus import labelled_features
+    from tablewitness.session import scratch_root
+
+    folders = set(os.listdir(scratch_root(spark)))
+    orders = table(spark, SMALL, "orders").where("o_orderpriority IN ('1-URGENT', '5-LOW')").drop("o_orderdate")
+    rows = labelled_features(orders, ["o_orderkey"], "o_orderpriority", trees=3, methods=["uniform", "shuffled"])
+    made = {name.split("-")[0] for name in set(os.listdir(scratch_root(spark))) - folders}
+    assert made == {"part", "domain"}
+    found = [(r["base"], r["label"]) for r in rows.select("base", "label").collect()]
+    assert found.count(("1-URGENT", 1)) == found.count(("5-LOW", 1)) == 4
 
 
 def test_many_groups_meet_salted_rows(spark, monkeypatch):
